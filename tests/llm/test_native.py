@@ -1,0 +1,120 @@
+"""Quality rules and line dedup against brute force on small fixtures."""
+
+import hashlib
+import re
+from collections import Counter
+
+import pytest
+from pyspark.sql import functions as F
+
+from tessera.llm import line_dedup, quality_rules
+
+WS = " \t\n\x0b\x0c\r"
+TEXTS = [
+    None,
+    "",
+    " \t ",
+    "one",
+    "a b c a b c",
+    "a b c d a b c d a b c",
+    "\nline\nLine \n\tline\n\n \nother\n",
+    "É é E e | # $ 1 2 3\r\nÉ é E e | # $ 1 2 3",
+    "x " * 60,
+    "word " * 5000,
+    " ".join(f"w{i}" for i in range(3000)) + "\n" + " ".join(f"w{i}" for i in range(500, 700)),
+    "same text twice",
+    "same text twice",
+]
+
+
+def docs_of(spark, texts, **more):
+    return spark.createDataFrame([(i, t, *more.values()) for i, t in enumerate(texts)], ", ".join(["doc_id long", "text string", *(f"{k} string" for k in more)]))
+
+
+def words(t):
+    return [w for w in re.split(r"[\x20\x09-\x0D]+", t or "") if w]
+
+
+def brute_stats(t):
+    w = words(t)
+    grams = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
+    n = Counter(grams)
+    hit = {j for i, g in enumerate(grams) if n[g] > 1 for j in range(i, i + 3)}
+    lines = [x for x in (t or "").split("\n") if words(x)]
+    return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t or "")), len(lines) - len(set(lines)), len(hit)
+
+
+def test_statistics_match_brute_force(spark):
+    got = quality_rules.judge(docs_of(spark, TEXTS, kept="clash", n_words="clash"), quality_rules.DecisionList()).collect()
+    for r in got:
+        n = brute_stats(TEXTS[r.doc_id])
+        assert tuple(r)[1:6] == n, r
+        assert r.base_failed == (n[0] < 50 or 100 * n[4] > 50 * n[0])
+        assert r.kept == (not r.base_failed)
+    assert len(got) == len(TEXTS)
+
+
+def test_rules_are_learned_and_applied(spark):
+    base = " ".join(f"w{i}" for i in range(80))
+    rows = [(i, base + (" |" * 40 if i % 4 == 0 else f" e{i}")) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 != 0)) for i in range(40)] + [(None, 1), (999, 0), (1, None)], "doc_id long, quality int")
+    rules = quality_rules.learn_from(docs, labels)
+    assert rules.rules
+    got = {r.doc_id: r.kept for r in quality_rules.judge(docs, rules).collect()}
+    assert got == {i: i % 4 != 0 for i in range(60)}
+
+
+def test_no_labels_no_rules(spark):
+    docs, labels = docs_of(spark, TEXTS), spark.createDataFrame([], "doc_id long, quality int")
+    assert quality_rules.learn_from(docs, labels).rules == []
+    assert quality_rules.judge(docs.limit(0), quality_rules.DecisionList()).count() == 0
+
+
+def brute_lines(rows, min_docs, keep_first=False, min_chars=1):
+    lower = lambda k: k.translate({i: i + 32 for i in range(65, 91)})
+    split = [(d, (t or "").split("\n")) for d, t in rows]
+    key = lambda x: lower(x.strip(WS))
+    n, first = Counter(), {}
+    for d, t in dict.fromkeys(rows):
+        for k in {key(x) for x in (t or "").split("\n")}:
+            n[k] += 1
+    order = sorted(range(len(split)), key=lambda i: (split[i][0] is not None, split[i][0]))
+    out = []
+    for i in order:
+        d, ls = split[i]
+        keep = []
+        for p, x in enumerate(ls):
+            k = key(x)
+            gone = len(k) >= min_chars and n[k] >= min_docs
+            if gone and keep_first and first.setdefault(k, (d, p)) == (d, p):
+                gone = False
+            if not gone:
+                keep.append(x)
+        out.append((d, len(ls), len(ls) - len(keep), hashlib.sha256("\n".join(keep).encode()).hexdigest()))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("keep_first", [False, True])
+@pytest.mark.parametrize("min_docs", [2, 3])
+def test_lines_match_brute_force(spark, min_docs, keep_first):
+    rows = [(i, t) for i, t in enumerate(TEXTS)] + [(100 + i, f"License\n  license \t\nown {i}\n\nÀB{i % 3}\nàb{i % 3}") for i in range(30)] + [(None, "License\nx"), (130, "LICENSE")]
+    docs = spark.createDataFrame([(*r, "x", "y") for r in rows], "doc_id long, text string, dropped string, _id string")
+    out = line_dedup.dedup_lines(docs, min_docs=min_docs, keep_first=keep_first)
+    got = out.select("doc_id", "n_lines", "n_dropped", F.sha2(line_dedup.kept_text(F.col("text"), F.col("keep_runs")), 256)).collect()
+    assert sorted(map(tuple, got), key=str) == brute_lines(rows, min_docs, keep_first)
+    assert {"dropped", "_id"} <= set(out.columns)
+
+
+def test_repeated_rows_and_empty_table(spark):
+    rows = [(1, "a\nb"), (1, "a\nb"), (2, "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = line_dedup.dedup_lines(docs, min_docs=3, keep_first=False)
+    assert [r.n_dropped for r in out.collect()] == [0, 0, 0]
+    assert line_dedup.dedup_lines(docs.limit(0)).count() == 0
+
+
+def test_runs_are_compressed(spark):
+    docs = spark.createDataFrame([(1, "k\nd\nd\nk"), (2, "d"), (3, "k2")], "doc_id long, text string")
+    got = {r.doc_id: r.keep_runs for r in line_dedup.dedup_lines(docs, keep_first=False).collect()}
+    assert got == {1: [1, 2, 1], 2: [0, 1, 0], 3: [1]} or got == {1: [0, 4, 0], 2: [0, 1, 0], 3: [1]}
