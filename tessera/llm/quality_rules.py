@@ -215,9 +215,17 @@ def learn_from(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROW
     return learn(sorted(rows, key=lambda r: (str(r["_id"]), str(r))), **options)
 
 
+def base_failed(stats: Column) -> Column:
+    return (stats["n_words"] < 50) | (100 * stats["n_repeat_words"] > 50 * stats["n_words"])
+
+
+def verdict(stats: Column, rules: DecisionList) -> Column:
+    """True for texts to keep: the base rules hold and no learned rule rejects."""
+    return ~base_failed(stats) & rules.column(stats)
+
+
 def judge(docs: DataFrame, rules: DecisionList, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, base statistics, base_failed, kept) for every document."""
-    out = docs.select(F.col(id_col), statistics(F.col(text_col)).alias("_s"))
     s = F.col("_s")
-    failed = (s["n_words"] < 50) | (100 * s["n_repeat_words"] > 50 * s["n_words"])
-    return out.select(id_col, *(s[k].alias(k) for k in BASE), failed.alias("base_failed"), (~failed & rules.column(s)).alias("kept"))
+    out = docs.select(F.col(id_col), statistics(F.col(text_col)).alias("_s"))
+    return out.select(id_col, *(s[k].alias(k) for k in BASE), base_failed(s).alias("base_failed"), verdict(s, rules).alias("kept"))

@@ -33,6 +33,9 @@ from pyspark.sql import functions as F
 from ._common import cut
 from .components import components
 
+#: Bits for near copies in a corpus: on 3-word shingles a distance of 7 is where texts
+#: that share 0.8 of their 5-word shingles lie on average.
+NEAR_BITS = 7
 #: A cell with more rows is dealt anew.
 CELL_ROWS = 50_000
 
