@@ -1,0 +1,5 @@
+"""No operator here works on streams: the engine's inputs are finite matrices and vectors.
+
+Entries that arrive over time are summed by the same assembly on a streaming
+DataFrame (`groupBy(row, col).sum`), which Structured Streaming runs as it is.
+"""
