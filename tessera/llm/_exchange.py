@@ -35,7 +35,7 @@ def powers(n: int, base: int = _BASE, inverse: bool = False) -> np.ndarray:
     if found is None or len(found) < n:
         b = np.full(max(n, 1 << 16), pow(base, -1, 1 << 64) if inverse else base, np.uint64)
         b[0] = 1
-        found = _POWERS[base, inverse] = np.cumprod(b, dtype=np.uint64)
+        found = _POWERS[base, inverse] = np.cumprod(b, out=b)
     return found[:n]
 
 
@@ -55,8 +55,14 @@ BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 def prefix(values: np.ndarray, base: int = _BASE) -> np.ndarray:
     """Prefix sums of values[i] * base ** i; one longer than values."""
+    return summed(np.array(values, np.uint64), base)
+
+
+def summed(values: np.ndarray, base: int = _BASE) -> np.ndarray:
+    """prefix(), in one array of its own size besides the values, which it overwrites."""
+    values *= powers(len(values), base)
     out = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * powers(len(values), base), out=out[1:])
+    np.cumsum(values, out=out[1:])
     return out
 
 
@@ -70,11 +76,11 @@ def rolling(sums: np.ndarray, k: int, base: int = _BASE) -> np.ndarray:
     return mix(out)
 
 
-def bucketed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int]:
-    """(id long, text string, bucket int) and the number of shards; both from the size of all texts."""
+def bucketed(docs: DataFrame, id_col: str, text_col: str, shard_share: int = 1) -> tuple[DataFrame, int]:
+    """(id long, text string, bucket int) and the number of shards, shard_share times the usual; all from the size of the texts."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    buckets, shards = (max(1, math.ceil(total / x)) for x in (BUCKET_BYTES, SHARD_BYTES))
+    buckets, shards = (max(1, math.ceil(total / x)) for x in (BUCKET_BYTES, SHARD_BYTES / shard_share))
     bucket = F.pmod(F.xxhash64(F.col(id_col), F.octet_length(text)), F.lit(buckets)).cast("int")
     return docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), bucket.alias("bucket")), shards
 

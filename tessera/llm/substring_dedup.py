@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ._exchange import _BASE2, ANSWER, BYTE, answered, bucketed, by_shard, gathered, groups, handed_on, layout, mix, onward, pieces, powers, prefix, replies, rolling, told
+from ._exchange import _BASE2, ANSWER, BYTE, answered, bucketed, by_shard, gathered, groups, handed_on, layout, mix, onward, pieces, powers, prefix, replies, rolling, summed, told
 
 WINDOW = 50
 
@@ -51,7 +51,7 @@ class Bucket:
         self.raw, self.offsets, self.ids, self.names = layout(t)
         self.starts, self.ends, self.doc = word_bounds(self.raw, self.offsets)
         self.window, self.shards, block = window, shards, window // 2
-        sums = prefix(BYTE[self.raw])
+        sums = summed(BYTE[self.raw])
         values = (sums[self.ends] - sums[self.starts]) * powers(len(sums), inverse=True)[self.starts]
         self.values = mix(values ^ (self.ends - self.starts).astype(np.uint64))
         self.id_of = self.ids[self.doc] if len(self.doc) else np.zeros(0, np.int64)
