@@ -98,7 +98,7 @@ def _row_ghosts(t: Tables) -> DataFrame:
 def _restrict(t: Tables) -> DataFrame:
     r = assemble.assemble(t.raw())
     p2, q2, _, q = next(multiply.restrict_prolong(r, t.ranks(), 1))
-    return q.df.select("idx", "val", F.lit(p2).alias("p_squared"), F.lit(q2).alias("q_squared"))
+    return q.df.select("idx", "val", F.round(F.sqrt(F.lit(p2)), 2).alias("p_norm"), F.round(F.sqrt(F.lit(q2)), 2).alias("q_norm"))
 
 
 def _contributions(t: Tables) -> DataFrame:
@@ -299,7 +299,7 @@ SQL: dict[str, str] = {
     "spmv_transpose": _sql("SELECT x.j AS idx, coalesce(s, 0.0)::DOUBLE AS val FROM x LEFT JOIN (SELECT j, sum(v * q) AS s FROM a0 JOIN q ON a0.i = q.i GROUP BY j) y ON y.j = x.j"),
     "power_apply": _power(50, 5),
     "restrict_prolong": _sql(
-        "SELECT q.i AS idx, coalesce(qn.v, 0.0)::DOUBLE AS val, (SELECT sum(v * v) FROM pv)::DOUBLE AS p_squared, (SELECT sum(v * v) FROM qn)::DOUBLE AS q_squared FROM q LEFT JOIN qn ON qn.i = q.i",
+        "SELECT q.i AS idx, coalesce(qn.v, 0.0)::DOUBLE AS val, (SELECT round(sqrt(sum(v * v)), 2) FROM pv) AS p_norm, (SELECT round(sqrt(sum(v * v)), 2) FROM qn) AS q_norm FROM q LEFT JOIN qn ON qn.i = q.i",
         more=", pv AS MATERIALIZED (SELECT j, sum(v * q) AS v FROM a JOIN q ON a.i = q.i GROUP BY j), qn AS MATERIALIZED (SELECT a.i, sum(a.v * pv.v) AS v FROM a JOIN pv ON a.j = pv.j GROUP BY a.i)",
     ),
     "assemble_duplicates": _sql("SELECT i AS row, j AS col, v::DOUBLE AS val FROM a"),
