@@ -10,6 +10,11 @@ one count raised by one as a visitor; a cell compares its points with all that
 it holds, first by the Manhattan bound over all segments, then by the exact
 Hamming distance. Larger limits use more parts of the vector.
 
+For near copies in a corpus (near_copies) a fingerprint has two words, the second
+from the same values spread anew. A distance of 20 of 128 bits is then far from
+chance (64 on average), and the grid has eight parts of 16 bits, so that pairs at
+a similarity of 0.8 meet in one of them with a probability above 0.95.
+
 Equal texts share a fingerprint and are one node. A cell emits links that span
 its linked sets, not all pairs. Cells above a size are dealt anew by exact
 16-bit blocks (one of four must be equal), so that no task gets an unbounded
@@ -31,46 +36,57 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._common import cut
+from ._exchange import mix
 from .components import components
 
-#: Bits for near copies in a corpus: on 3-word shingles a distance of 7 is where texts
-#: that share 0.8 of their 5-word shingles lie on average.
-NEAR_BITS = 7
+#: Of 128 bits. Texts that share 0.8 of their 5-word shingles lie about 15 apart on 3-word shingles.
+NEAR_BITS = 20
 #: A cell with more rows is dealt anew.
 CELL_ROWS = 50_000
 
 
-def fingerprint(text: str | None, width: int = 3) -> int:
-    """The unsigned fingerprint of the whole text."""
+def fingerprint(text: str | None, width: int = 3, words_out: int = 1) -> np.ndarray:
+    """The fingerprint of the whole text, in unsigned 64-bit words."""
     import xxhash
 
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return np.zeros(words_out, np.uint64)
     joined, h = b" ".join(words), xxhash.xxh64_intdigest
-    n = len(words) - width + 1
-    if n <= 1:
-        return h(joined, 42)
-    lengths = np.fromiter(map(len, words), np.int64, len(words))
-    ends = np.cumsum(lengths + 1) - 1
-    starts = (ends - lengths)[:n].tolist()
-    values = np.fromiter((h(joined[a:b], 42) for a, b in zip(starts, ends[width - 1 :].tolist(), strict=True)), np.uint64, n)
-    counts = np.zeros(64, np.int64)
-    for i in range(0, n, 8192):
-        counts += np.unpackbits(values[i : i + 8192].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * counts > n, bitorder="little").view(np.uint64)[0])
-
-
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
-    """(id, fp): the fingerprint as a signed long, for every row."""
+    n = max(1, len(words) - width + 1)
+    if n == 1:
+        values = np.array([h(joined, 42)], np.uint64)
+    else:
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        ends = np.cumsum(lengths + 1) - 1
+        starts = (ends - lengths)[:n].tolist()
+        values = np.fromiter((h(joined[a:b], 42) for a, b in zip(starts, ends[width - 1 :].tolist(), strict=True)), np.uint64, n)
+    out = np.zeros(words_out, np.uint64)
+    for k in range(words_out):
+        counts = np.zeros(64, np.int64)
+        for i in range(0, n, 8192):
+            counts += np.unpackbits(values[i : i + 8192].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out[k] = np.packbits(2 * counts > n, bitorder="little").view(np.uint64)[0]
+        values = mix(values)
+    return out
+
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, words: int = 1) -> DataFrame:
+    """(id, fp, fp1, ...): the fingerprint's words as signed longs, for every row."""
     kind = docs.schema[id_col].dataType.simpleString()
+    names = fp_names(words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = np.array([fingerprint(t.as_py(), width) for t in b.column(1)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], names=[id_col, "fp"])
+            if b.num_rows:
+                fps = np.stack([fingerprint(t.as_py(), width, words) for t in b.column(1)]).view(np.int64)
+                yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(fps[:, k].copy()) for k in range(words))], names=[id_col, *names])
+
+    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, " + ", ".join(f"{n} long" for n in names))
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, fp long")
+
+def fp_names(words: int) -> list[str]:
+    return ["fp", *(f"fp{k}" for k in range(1, words))]
 
 
 def _counts(x: np.ndarray) -> np.ndarray:
@@ -78,11 +94,11 @@ def _counts(x: np.ndarray) -> np.ndarray:
     return x - ((x >> np.uint64(1)) & np.uint64(0x5555555555555555))
 
 
-def _manhattan_near(a: np.ndarray, b: np.ndarray, limit: int) -> np.ndarray:
-    """True where the count vectors (0 to 2 in 2-bit fields) are at most limit apart."""
-    # a count c in unary (0, 01, 11) turns the distance into a number of bits
+def _manhattan(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Distance of the segments' counts of two fingerprints' words."""
+    # a count in unary (0, 01, 11) turns the distance into a number of bits
     unary = lambda c: c | ((c >> np.uint64(1)) & np.uint64(0x5555555555555555))
-    return np.bitwise_count(unary(a) ^ unary(b)) <= limit
+    return np.bitwise_count(unary(_counts(a)) ^ unary(_counts(b)))
 
 
 def parts_of(limit: int) -> int:
@@ -94,110 +110,139 @@ def parts_of(limit: int) -> int:
 
 
 def grid_rows(fps: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Cells, fingerprints and the visitor flag of all rows of these fingerprints."""
-    parts = parts_of(limit)
+    """Cells, the row of the fingerprint, and the visitor flag; fps has a column for each word.
+
+    Two words have four parts each.
+    """
+    words = fps.shape[1]
+    parts = parts_of(limit) if words == 1 else 4
     bits = 64 // parts
     mask = np.uint64((1 << bits) - 1)
-    out = []
-    counts = _counts(fps.view(np.uint64))
-    for part in range(parts):
-        v = (counts >> np.uint64(part * bits)) & mask
-        name = np.uint64(part) * np.uint64(0x9E3779B97F4A7C15) if parts > 1 else np.uint64(0)
-        mix = lambda c: ((c ^ name) * np.uint64(0xD6E8FEB86659FD93)) ^ name  # noqa: B023, E731
-        out.append((mix(v), fps, np.zeros(len(fps), bool)))
-        for j in range(0, bits, 2):
-            up = ((v >> np.uint64(j)) & np.uint64(3)) < 2
-            out.append((mix(v[up] + (np.uint64(1) << np.uint64(j))), fps[up], np.ones(int(up.sum()), bool)))
-    return np.concatenate([x[0] for x in out]).view(np.int64), np.concatenate([x[1] for x in out]), np.concatenate([x[2] for x in out])
+    cells, rows, visitors = [], [], []
+    every = np.arange(len(fps))
+    for word in range(words):
+        counts = _counts(fps[:, word].view(np.uint64))
+        for part in range(parts):
+            v = (counts >> np.uint64(part * bits)) & mask
+            name = np.uint64((word * parts + part + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+            cells.append(mix(v ^ name))
+            rows.append(every)
+            visitors.append(np.zeros(len(fps), bool))
+            for j in range(0, bits, 2):
+                up = np.flatnonzero(((v >> np.uint64(j)) & np.uint64(3)) < 2)
+                cells.append(mix((v[up] + (np.uint64(1) << np.uint64(j))) ^ name))
+                rows.append(up)
+                visitors.append(np.ones(len(up), bool))
+    return np.concatenate(cells).view(np.int64), np.concatenate(rows), np.concatenate(visitors)
+
+
+def _near(x: np.ndarray, y: np.ndarray, limit: int) -> np.ndarray:
+    """Pairs within the limit: x and y broadcast against each other, words last. The bound first, then the distance."""
+    total = lambda f: sum(f(x[..., k], y[..., k]).astype(np.int16) for k in range(x.shape[-1]))
+    near = total(_manhattan) <= limit
+    if near.any():
+        near &= total(lambda a, b: np.bitwise_count(a ^ b)) <= limit
+    return near
 
 
 def spanning_links(points: np.ndarray, others: np.ndarray, limit: int) -> list[tuple[int, int]]:
-    """Links (Hamming distance <= limit) between points and all, thinned to a forest."""
-    nodes = np.unique(np.concatenate([points, others]))
-    points = np.unique(points)
-    label, out = np.arange(len(nodes)), []
+    """Places (of points, then others) of links within the limit between points and all, thinned to a forest.
+
+    Both are unsigned, a column for each word; equal fingerprints are linked too.
+    """
+    x = np.concatenate([points, others])
+    n, m = len(x), len(points)
+    label, out = np.arange(n), []
+
+    def join(me: int, hit: np.ndarray) -> None:
+        _, first = np.unique(label[hit], return_index=True)
+        for other in hit[first].tolist():
+            low, high = sorted((int(label[other]), int(label[me])))
+            if low != high:
+                out.append((me, other))
+                label[label == high] = low
 
     def block(p: np.ndarray, q: np.ndarray) -> None:
-        """p, q: places in nodes."""
-        x, y = nodes[p].view(np.uint64), nodes[q].view(np.uint64)
-        step = max(1, (1 << 21) // max(1, len(q)))
+        step = max(1, (1 << 20) // max(1, len(q)))
         for i in range(0, len(p), step):
-            d = x[i : i + step, None] ^ y[None, :]
-            near = _manhattan_near(_counts(x[i : i + step])[:, None], _counts(y)[None, :], limit)
-            near &= np.bitwise_count(d) <= limit
-            for r in np.flatnonzero(near.sum(axis=1) > 1):
-                hit = q[near[r]]
-                roots, first = np.unique(label[hit], return_index=True)
-                if len(roots) > 1 or roots[0] != label[p[i + r]]:
-                    me = p[i + r]
-                    for other in hit[first].tolist():
-                        low, high = sorted((int(label[other]), int(label[me])))
-                        if low != high:
-                            out.append((int(nodes[me]), int(nodes[other])))
-                            label[label == high] = low
+            near = _near(x[p[i : i + step]][:, None, :], x[q][None, :, :], limit)
+            for r in np.flatnonzero(near.any(axis=1)):
+                join(int(p[i + r]), q[near[r]])
 
     def meet(p: np.ndarray, q: np.ndarray, used: np.uint64) -> None:
+        """One word: go on by sets of the bits that vary; pairs within the limit agree on one of limit + 1 sets."""
         if len(p) * len(q) <= 1 << 22:
             return block(p, q)
-        x = nodes[q].view(np.uint64)
-        vary = (np.bitwise_or.reduce(x) ^ np.bitwise_and.reduce(x)) & ~used
+        w = x[q][:, 0]
+        vary = (np.bitwise_or.reduce(w) ^ np.bitwise_and.reduce(w)) & ~used
         bits = [j for j in range(64) if int(vary) >> j & 1]
         if len(bits) < 2 * (limit + 1):
             return block(p, q)
-        for k in range(limit + 1):  # pairs differ in at most limit bits, so agree on one of limit + 1 sets
+        inside = np.isin(q, p)
+        for k in range(limit + 1):
             mask = np.uint64(sum(1 << j for j in bits[k :: limit + 1]))
-            key = x & mask
-            order = np.argsort(key, kind="stable")
-            starts = np.flatnonzero(np.r_[True, np.diff(key[order]) != 0])
-            inside = np.isin(q, p)
-            for g in np.split(order, starts[1:]):
+            order = np.argsort(w & mask, kind="stable")
+            starts = np.flatnonzero(np.diff((w & mask)[order]) != 0) + 1
+            for g in np.split(order, starts):
                 pg = q[g][inside[g]]
                 if len(pg) and len(g) > 1:
                     meet(pg, q[g], used | mask) if len(g) < len(q) else block(pg, q[g])
         return None
 
-    at = np.searchsorted(nodes, points)
-    meet(at, np.arange(len(nodes)), np.uint64(0))
+    every = np.arange(n)
+    rest = every[:m]
+    if n > 1024:  # pivots first: what is near one of them needs no comparison with the rest of its group
+        for _ in range(32):
+            pivot = int(rest[0])
+            join(pivot, np.flatnonzero(_near(x[pivot : pivot + 1], x, limit)))
+            values, sizes = np.unique(label, return_counts=True)
+            large = values[sizes.argmax()]
+            rest = np.setdiff1d(every[label != large], [pivot])
+            if len(rest) < 64 or sizes.max() == 1:
+                break
+    if points.shape[1] > 1 or n <= 1024:
+        block(rest, every)
+    else:
+        meet(rest, every, np.uint64(0))
     return out
 
 
-def _cell_links(limit: int):
-    """mapInArrow over rows (cell, sub, fp, visitor), clustered by cell and sub."""
+def _cell_links(limit: int, words: int):
+    """mapInArrow over rows (cell, sub, node, visitor, words ...), clustered by cell and sub."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: list[np.ndarray] | None = None
 
-        def links(cell: np.ndarray, sub: np.ndarray, fp: np.ndarray, visitor: np.ndarray) -> pa.RecordBatch:
-            a, b = [], []
-            new = np.r_[True, (cell[1:] != cell[:-1]) | (sub[1:] != sub[:-1])] if len(cell) else np.zeros(0, bool)
+        def links(cell: np.ndarray, sub: np.ndarray, node: np.ndarray, visitor: np.ndarray, *fps: np.ndarray) -> pa.RecordBatch:
+            x = np.stack(fps, 1).view(np.uint64)
+            none = np.zeros(0, np.int64)
+            a, b = [none], [none]
+            new = np.r_[True, (cell[1:] != cell[:-1]) | (sub[1:] != sub[:-1])]
             starts = np.flatnonzero(new)
             sizes = np.diff(np.r_[starts, len(cell)])
             group = np.cumsum(new) - 1
-            small = np.repeat((sizes > 1) & (sizes <= 8), sizes)
-            at = np.flatnonzero(small)
+            at = np.flatnonzero(np.repeat((sizes > 1) & (sizes <= 8), sizes))
             for s in range(1, 8):  # groups of up to eight: all at once, by shifts
-                i = at[: max(0, len(at) - s)]
-                j = at[s:]
-                same = (group[i] == group[j]) & ~(visitor[i] & visitor[j]) & (fp[i] != fp[j])
+                i, j = at[: max(0, len(at) - s)], at[s:]
+                same = (group[i] == group[j]) & ~(visitor[i] & visitor[j]) & (node[i] != node[j])
                 i, j = i[same], j[same]
-                x, y = fp[i].view(np.uint64), fp[j].view(np.uint64)
-                near = _manhattan_near(_counts(x), _counts(y), limit)
-                near[near] = np.bitwise_count(x[near] ^ y[near]) <= limit
-                a.append(fp[i[near]])
-                b.append(fp[j[near]])
+                near = _near(x[i], x[j], limit)
+                a.append(node[i[near]])
+                b.append(node[j[near]])
             for g in np.flatnonzero(sizes > 8):
-                own = slice(starts[g], starts[g] + sizes[g])
-                point = ~visitor[own]
-                if point.any():
-                    found = spanning_links(fp[own][point], fp[own][~point], limit)
-                    a.append(np.array([x for x, _ in found], np.int64))
-                    b.append(np.array([y for _, y in found], np.int64))
-            a, b = (np.concatenate(z) if z else np.zeros(0, np.int64) for z in (a, b))
-            pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
+                own = np.arange(starts[g], starts[g] + sizes[g])
+                own = np.concatenate([own[~visitor[own]], own[visitor[own]]])
+                m = int((~visitor[own]).sum())
+                if m:
+                    found = np.array(spanning_links(x[own[:m]], x[own[m:]], limit), np.int64).reshape(-1, 2)
+                    a.append(node[own[found[:, 0]]])
+                    b.append(node[own[found[:, 1]]])
+            one, two = np.concatenate(a), np.concatenate(b)
+            pairs = np.unique(np.stack([np.minimum(one, two), np.maximum(one, two)], 1)[one != two], axis=0)
             return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["a", "b"])
 
         for batch in batches:
-            cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(4)]
+            cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
             if rest is not None:
                 cols = [np.concatenate([x, y]) for x, y in zip(rest, cols, strict=True)]
             if not len(cols[0]):
@@ -213,47 +258,61 @@ def _cell_links(limit: int):
     return run
 
 
-def near_links(fps: DataFrame, limit: int = 3, cell_rows: int = CELL_ROWS) -> DataFrame:
-    """(a, b), a < b: links that connect what chains of Hamming distances <= limit connect.
+def near_links(fps: DataFrame, limit: int = 3, cell_rows: int = CELL_ROWS, words: int = 1, node: str = "fp") -> DataFrame:
+    """(a, b), a < b: links of nodes that connect what chains of distances <= limit connect.
 
-    fps has one column of distinct fingerprints, fp.
+    fps has the words of distinct fingerprints and a long that names each.
     """
+    names = fp_names(words)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(0, b.num_rows, 4096):
-                cell, fp, visitor = grid_rows(b.column(0)[i : i + 4096].to_numpy(zero_copy_only=False), limit)
-                yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(fp), pa.array(visitor)], names=["cell", "fp", "visitor"])
-
-    rows = fps.select("fp").mapInArrow(emit, "cell long, fp long, visitor boolean")
+                part = b.slice(i, 4096)
+                ids = part.column(0).to_numpy(zero_copy_only=False)
+                x = np.stack([part.column(1 + k).to_numpy(zero_copy_only=False) for k in range(words)], 1)
+                cell, row, visitor = grid_rows(x, limit)
+                yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(ids[row]), pa.array(visitor), *(pa.array(x[row, k]) for k in range(words))], names=["cell", "node", "visitor", *names])
+
+    columns = ", ".join(f"{n} long" for n in names)
+    rows = fps.select(F.col(node).alias("node"), *names).mapInArrow(emit, f"cell long, node long, visitor boolean, {columns}")
     hot = cut(rows.groupBy("cell").count().where(F.col("count") > cell_rows).select("cell"))
     none = F.lit(0).cast("long")
     if hot.isEmpty():
         dealt = rows.withColumn("sub", none)
     else:
-        blocks = max(4, limit + 1)
-        width = 64 // blocks
+        blocks = limit + 1
+        width = max(1, 64 * words // blocks)
 
         def block(i: int) -> Column:
-            bits = F.shiftrightunsigned("fp", i * width).bitwiseAND(F.lit((1 << width) - 1))
+            """Some bits of one word; of `blocks` such sets one is equal in any two fingerprints within the limit."""
+            at = i * width
+            bits = F.shiftrightunsigned(names[min(at // 64, words - 1)], at % 64).bitwiseAND(F.lit((1 << min(width, 64 - at % 64)) - 1))
             return F.xxhash64(F.lit(i), bits)
 
         marked = rows.join(hot.withColumn("hot", F.lit(True)), "cell", "left")
         subs = F.when(F.col("hot"), F.array(*map(block, range(blocks)))).otherwise(F.array(none))
-        dealt = marked.select("cell", "fp", "visitor", F.explode(subs).alias("sub"))
-    grouped = dealt.select("cell", "sub", "fp", "visitor").repartition("cell", "sub").sortWithinPartitions("cell", "sub", "fp")
-    return grouped.mapInArrow(_cell_links(limit), "a long, b long").distinct()
+        dealt = marked.withColumn("sub", F.explode(subs))
+    grouped = dealt.select("cell", "sub", "node", "visitor", *names).repartition("cell", "sub").sortWithinPartitions("cell", "sub")
+    return grouped.mapInArrow(_cell_links(limit, words), "a long, b long").distinct()
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, limit: int = 3) -> DataFrame:
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, limit: int = 3, words: int = 1) -> DataFrame:
     """(id, fp, component_id) for every row; component_id is the smallest id of the class."""
-    marked = cut(fingerprints(docs, id_col, text_col, width))
-    nodes = cut(marked.groupBy("fp").agg(F.min(id_col).alias("_least")))
-    roots = components(near_links(nodes, limit))
-    named = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "_least", F.coalesce("root", "fp").alias("_root"))
+    names = fp_names(words)
+    marked = cut(fingerprints(docs, id_col, text_col, width, words))
+    of = F.col("fp") if words == 1 else F.xxhash64(*names)
+    nodes = cut(marked.groupBy(*names).agg(F.min(id_col).alias("_least")).withColumn("_node", of))
+    roots = components(near_links(nodes, limit, words=words, node="_node"))
+    named = nodes.join(roots.withColumnRenamed("node", "_node"), "_node", "left").withColumn("_root", F.coalesce("root", "_node"))
     least = named.groupBy("_root").agg(F.min("_least").alias("component_id"))
-    by_fp = named.join(least, "_root").select("fp", "component_id")
-    return marked.join(by_fp, "fp").select(id_col, "fp", "component_id")
+    by_fp = named.join(least, "_root").select(*names, "component_id")
+    return marked.join(by_fp, names).select(id_col, "fp", "component_id")
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, fp, component_id): classes of near copies by two-word fingerprints, NEAR_BITS apart at most."""
+    return classes(docs, id_col, text_col, width=3, limit=NEAR_BITS, words=2)
 
 
 def as_hex(fp: Column) -> Column:

@@ -95,15 +95,41 @@ def test_grid_finds_all_links(spark, limit, cell_rows):
     assert classes_of(pairs, signed) == classes_of(near, signed)
 
 
-def test_spanning_links_in_a_large_group():
+@pytest.mark.parametrize("tight", [False, True])
+@pytest.mark.parametrize("words", [1, 2])
+def test_spanning_links_in_a_large_group(words, tight):
     r = np.random.default_rng(5)
     bits = r.choice(64, 16, replace=False)
-    fps = np.unique(np.array([sum(1 << int(b) for b in bits if r.random() < 0.5) for _ in range(3000)], np.uint64).view(np.int64))
-    found = simhash.spanning_links(fps, fps, 3)
-    u = fps.view(np.uint64)
-    near = np.argwhere(np.triu(np.bitwise_count(u[:, None] ^ u[None, :]) <= 3, 1))
-    assert len(found) < len(fps)
-    assert classes_of(found, fps.tolist()) == classes_of([(int(fps[a]), int(fps[b])) for a, b in near], fps.tolist())
+    fps = np.unique(np.array([sum(1 << int(b) for b in bits if r.random() < (0.05 if tight else 0.5)) for _ in range(3000)], np.uint64))
+    fps = np.concatenate([fps, np.bitwise_not(fps[:50])])
+    u = np.stack([fps, *[fps ^ np.uint64(7)] * (words - 1)], 1)
+    limit = 3 * words
+    found = simhash.spanning_links(u, u[:5], limit)
+    d = sum(np.bitwise_count(u[:, None, k] ^ u[None, :, k]).astype(int) for k in range(words))
+    near = np.argwhere(np.triu(d <= limit, 1)).tolist() + [[i, len(u) + i] for i in range(5)]
+    assert len(found) < len(u) + 5
+    nodes = list(range(len(u) + 5))
+    assert classes_of(found, nodes) == classes_of(near, nodes)
+
+
+def test_near_copies_are_found(spark):
+    r = random.Random(8)
+    rows, want = [], {}
+    for i in range(150):
+        w = [f"w{r.randrange(5000)}" for _ in range(r.randrange(150, 400))]
+        rows.append((3 * i, " ".join(w)))
+        want[3 * i] = 3 * i
+        if i % 3 == 0:
+            for c in (1, 2):  # shares about 0.9 of its 5-word shingles
+                v = list(w)
+                for k in r.sample(range(len(v)), max(1, len(v) // 100)):
+                    v[k] = "edited"
+                rows.append((3 * i + c, " ".join(v)))
+                want[3 * i + c] = 3 * i
+    docs = spark.createDataFrame(rows + [(None, ""), (900, None)], "doc_id long, text string")
+    got = {x.doc_id: x.component_id for x in simhash.near_copies(docs).collect()}
+    assert got.pop(None) == got.pop(900) == 900
+    assert all(got[i] in (i, want[i]) for i in want) and sum(got[i] == want[i] for i in want) >= len(want) - 2
 
 
 def test_components(spark):
