@@ -42,8 +42,7 @@ def _by_join(entries: DataFrame, x: Vector, hint: str | None) -> DataFrame:
         side = F.broadcast(side)
     elif hint == "shuffle":
         side = side.hint("merge")
-    joined = entries.join(side, entries["col"] == side["idx"])
-    return joined.groupBy("row").agg(F.sum(F.col("val") * F.col("_x")).alias("val"))
+    return entries.join(side, entries["col"] == side["idx"]).select("row", (F.col("val") * F.col("_x")).alias("val"))
 
 
 def _by_arrays(a: SparseMatrix, x: Vector) -> DataFrame:
@@ -66,12 +65,11 @@ def _by_blocks(entries: DataFrame, x: Vector, salts: int) -> DataFrame:
         sums = np.bincount(place, entries.column("val").to_numpy() * dense[entries.column("at").to_numpy()], len(rows)) if len(rows) else np.zeros(0)
         return pa.table({"row": pa.array(rows, pa.int64()), "val": pa.array(sums, pa.float64())})
 
-    parts = left.groupBy("_block", "_salt").cogroup(right.groupBy("_block", "_salt")).applyInArrow(product, "row long, val double")
-    return parts.groupBy("row").agg(F.sum("val").alias("val"))
+    return left.groupBy("_block", "_salt").cogroup(right.groupBy("_block", "_salt")).applyInArrow(product, "row long, val double")
 
 
-def product(a: SparseMatrix, x: Vector, strategy: str = "auto", salts: int = 4) -> DataFrame:
-    """(row, val) of A x for the rows that have entries."""
+def terms(a: SparseMatrix, x: Vector, strategy: str = "auto", salts: int = 4) -> DataFrame:
+    """(row, val): what A x sums up by row; one or more records for each row with entries."""
     if strategy not in STRATEGIES:
         raise ValueError(f"unknown strategy {strategy}; there are {STRATEGIES}")
     if strategy == "csr" and x.n <= BROADCAST_ROWS:
@@ -82,16 +80,28 @@ def product(a: SparseMatrix, x: Vector, strategy: str = "auto", salts: int = 4)
     return _by_join(entries, x, strategy)
 
 
-def padded(rows: DataFrame, a: SparseMatrix, alpha: float = 1.0, beta: float = 0.0, y: Vector | None = None) -> Vector:
-    """alpha times (row, val) plus beta y, for every row of the matrix."""
-    scaled = rows.select(F.col("row").alias("idx"), (F.lit(float(alpha)) * F.col("val")).alias("_ax"))
+def product(a: SparseMatrix, x: Vector, strategy: str = "auto", salts: int = 4) -> DataFrame:
+    """(row, val) of A x for the rows that have entries."""
+    return terms(a, x, strategy, salts).groupBy("row").agg(F.sum("val").alias("val"))
+
+
+def padded(parts: DataFrame, a: SparseMatrix, alpha: float = 1.0, beta: float = 0.0, y: Vector | None = None) -> Vector:
+    """alpha times the sums of parts by row, plus beta y, for every row of the matrix.
+
+    parts has row and one or more columns of terms, which are summed apart. Rows
+    without entries come from a union before the sum, not from a join after it, so
+    there is one shuffle of partial sums.
+    """
+    columns = [c for c in parts.columns if c != "row"]
+    zero = F.lit(None).cast("double")
     if y is not None and beta:
-        base = y.df.join(scaled, "idx", "left")
-        value = F.coalesce("_ax", F.lit(0.0)) + F.lit(float(beta)) * F.col("val")
+        base = y.df.select(F.col("idx").alias("row"), *(zero.alias(c) for c in columns), (F.lit(float(beta)) * F.col("val")).alias("_y"))
     else:
-        base = a.df.sparkSession.range(a.nrows).withColumnRenamed("id", "idx").join(scaled, "idx", "left")
-        value = F.coalesce("_ax", F.lit(0.0))
-    return Vector(base.select("idx", value.cast(a.dtype).cast("double").alias("val")), a.nrows)
+        base = a.df.sparkSession.range(a.nrows).select(F.col("id").alias("row"), *(zero.alias(c) for c in columns), F.lit(0.0).alias("_y"))
+    all_ = parts.select("row", *(F.col(c).cast("double").alias(c) for c in columns), zero.alias("_y")).unionByName(base)
+    sums = all_.groupBy("row").agg(*(F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in [*columns, "_y"]))
+    total = F.lit(float(alpha)) * sum((F.col(c) for c in columns[1:]), F.col(columns[0])) + F.col("_y")
+    return Vector(sums.select(F.col("row").alias("idx"), total.cast(a.dtype).cast("double").alias("val")), a.nrows)
 
 
 def _fits(a: SparseMatrix, x: Vector) -> None:
@@ -102,7 +112,7 @@ def _fits(a: SparseMatrix, x: Vector) -> None:
 def mult(a: SparseMatrix, x: Vector, strategy: str = "auto", alpha: float = 1.0, beta: float = 0.0, y: Vector | None = None) -> Vector:
     """Alpha A x + beta y."""
     _fits(a, x)
-    return padded(product(a, x, strategy), a, alpha, beta, y)
+    return padded(terms(a, x, strategy), a, alpha, beta, y)
 
 
 def mult_overlapped(a: SparseMatrix, x: Vector, parts: int, strategy: str = "auto") -> Vector:
@@ -114,8 +124,8 @@ def mult_overlapped(a: SparseMatrix, x: Vector, parts: int, strategy: str = "aut
     at = split_local(a.expanded(), parts)
     side = x.df.withColumnRenamed("val", "_x")
     term = F.col("val") * F.col("_x")
-    sums = at.join(side, at["col"] == side["idx"]).groupBy("row").agg(F.sum(F.when(F.col("is_local"), term)).alias("own"), F.sum(F.when(~F.col("is_local"), term)).alias("other"))
-    return padded(sums.select("row", (F.coalesce("own", F.lit(0.0)) + F.coalesce("other", F.lit(0.0))).alias("val")), a)
+    parts = at.join(side, at["col"] == side["idx"]).select("row", F.when(F.col("is_local"), term).alias("own"), F.when(~F.col("is_local"), term).alias("other"))
+    return padded(parts, a)
 
 
 def mult_symmetric(a: SparseMatrix, x: Vector, strategy: str = "auto") -> Vector:
@@ -161,4 +171,4 @@ def restrict_prolong(r: SparseMatrix, q: Vector, cycles: int = 10, strategy: str
         yield square(p), square(q), p, q
 
 
-__all__ = ["lower", "mult", "mult_diagonal", "mult_overlapped", "mult_symmetric", "mult_transposed", "power_apply", "product", "restrict_prolong", "transposed"]
+__all__ = ["lower", "mult", "mult_diagonal", "mult_overlapped", "mult_symmetric", "mult_transposed", "power_apply", "product", "restrict_prolong", "terms", "transposed"]
