@@ -75,11 +75,15 @@ def line_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     streamed = ranged.withColumn("_new", (before.isNull() | ~before.eqNullSafe(me)).cast("long"))
     first = F.min(F.struct("_id", "_version", "_pos"))
     in_bucket = streamed.groupBy("_hash", "_bucket").agg(F.sum("_new").alias("_docs"), first.alias("_first"))
-    frequent = in_bucket.groupBy("_hash").agg(F.sum("_docs").alias("_docs"), F.min("_first").alias("_first")).where(F.col("_docs") >= min_docs)
+    # a row for each bucket of a line: at most `buckets` of them meet here
+    line = Window.partitionBy("_hash")
+    summed = in_bucket.select("_hash", "_bucket", F.sum("_docs").over(line).alias("_docs"), F.min("_first").over(line).alias("_first"))
+    frequent = summed.where(F.col("_docs") >= min_docs).drop("_docs")
+    keys = ["_hash", "_bucket"]  # so a common line's rows come back by bucket too
     if keep_first:
-        hit = rows.join(frequent, "_hash").where(~F.struct("_id", "_version", "_pos").eqNullSafe(F.col("_first")))
+        hit = rows.join(frequent, keys).where(~F.struct("_id", "_version", "_pos").eqNullSafe(F.col("_first")))
     else:
-        hit = rows.join(frequent.select("_hash"), "_hash", "left_semi")
+        hit = rows.join(frequent.select(*keys), keys, "left_semi")
     return hit.groupBy("_id", "_version").agg(F.sort_array(F.collect_set("_pos")).alias("dropped")).withColumnRenamed("_id", id_col)
 
 
