@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from ._common import WS_CHARS, ascii_lower, let
 
 #: Ranges that one very common line can be dealt over.
-BUCKETS = 4096
+BUCKETS = 1024
 
 
 def _lines(text: Column) -> Column:
