@@ -13,6 +13,8 @@ recomputation of its buckets, which give the same lists again.
 from __future__ import annotations
 
 import math
+import sys
+import types
 
 import numpy as np
 import pyarrow as pa
@@ -26,16 +28,21 @@ SHARD_BYTES = 12 << 20
 ANSWER = "bucket int, shard int, bits binary"
 
 _BASE, _BASE2 = 0x9E3779B97F4A7C15 | 5, 0xC2B2AE3D27D4EB4F | 5
-_POWERS: dict[tuple[int, bool], np.ndarray] = {}
 
 
 def powers(n: int, base: int = _BASE, inverse: bool = False) -> np.ndarray:
-    """base ** i (or its inverse) modulo 2 ** 64 for i < n."""
-    found = _POWERS.get((base, inverse))
+    """base ** i (or its inverse) modulo 2 ** 64 for i < n.
+
+    The tables belong to the process, in a module of their own: globals of functions
+    that came by value would be made anew for each task and linger until the garbage
+    collector finds them.
+    """
+    tables = sys.modules.setdefault("tessera_llm_kept", types.ModuleType("tessera_llm_kept")).__dict__.setdefault("powers", {})
+    found = tables.get((base, inverse))
     if found is None or len(found) < n:
         b = np.full(max(n, 1 << 16), pow(base, -1, 1 << 64) if inverse else base, np.uint64)
         b[0] = 1
-        found = _POWERS[base, inverse] = np.cumprod(b, out=b)
+        found = tables[base, inverse] = np.cumprod(b, out=b)
     return found[:n]
 
 
