@@ -1,20 +1,21 @@
-"""Benchmark decontamination: rare n-gram seeds and Smith-Waterman alignment.
+"""Benchmark decontamination: a bound from shared words and Smith-Waterman alignment.
 
 The benchmark is a stated query set, taken in blocks of a fixed number of items;
-its seeds (n-grams of words with case and punctuation put aside) are what is
-broadcast, so their size has a bound for any benchmark. For each block, one pass
-over the corpus counts in how many documents each seed is found. An item's rare
-seeds are those found in at most `rare_docs` documents and the rarer half of the
-others, so an item that many copies hold keeps half of its seeds. A second pass
-cuts the passages around rare seeds, aligns each with its item by Smith-Waterman
-(match 2, mismatch -1, gap -1) over words, and reports items whose best local
-score reaches `min_score` of a full match. Nothing but seed counts is shuffled;
-texts never move, and a hot source or a group of copies stays where it is read.
+its words (with case and punctuation put aside) are what is broadcast, so their
+size has a bound for any benchmark. A document's passages are aligned with an item
+by Smith-Waterman (match 2, mismatch -1, gap -1) over words, and items are reported
+whose best local score reaches `min_score` of a full match. A passage's words give
+at most 2 each if the item has them and cost 1 each if not, so a running sum over
+the shared words bounds the score of every alignment that ends in one of them; where
+the sum stays below the limit nothing is aligned, nor where an item's words, each as
+often as the item has it, are too few in the longest passage that can reach it. The result is that of aligning
+every document with every item, however edited a passage is and however many
+documents hold it. Each block is one pass and nothing is shuffled; texts never move,
+and a hot source or a group of copies stays where it is read.
 
 Defined cases: null and empty texts and items match nothing; an item of fewer
-words than a seed is its own seed; equal items are reported each; repeated rows
-are reported each; null ids are carried; an empty benchmark or corpus gives an
-empty result; other columns are not read.
+than four words matches only whole; equal items are reported each; repeated rows are reported each; null ids are carried; an empty
+benchmark or corpus gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -30,10 +31,14 @@ from pyspark.sql import functions as F
 
 from ._exchange import BYTE, layout, mix, powers, prefix, rolling
 
-SEED_WORDS = 4
+#: Words of a seed. Insertions alone can leave no two words of an item in a row at a score of 0.5.
+SEED_WORDS = 1
 BLOCK_ITEMS = 2_000
 MIN_SCORE = 0.5
-RARE_DOCS = 20
+#: Items of fewer words match only whole.
+SHORT_WORDS = 4
+#: Shared words of documents and items that are looked at together.
+CHUNK_HITS = 1 << 16
 
 #: Bytes that belong to words (ASCII letters and digits, all beyond ASCII), and lower case.
 WORD = np.array([chr(i).isalnum() if i < 128 else True for i in range(256)])
@@ -68,7 +73,10 @@ class Items:
     ids: list
     words: list[np.ndarray]
     seeds: np.ndarray  # sorted, distinct
-    of_seed: list[list[tuple[int, int]]]  # for each seed: (item, place in it)
+    owners: np.ndarray  # the items that have each seed, seed by seed
+    times: np.ndarray  # how often each of these has it
+    first: np.ndarray  # where each seed's begin
+    count: np.ndarray  # and how many there are
     sizes: list[int]  # lengths of seeds
 
     @classmethod
@@ -77,17 +85,23 @@ class Items:
         raw = np.frombuffer(b"".join(texts), np.uint8)
         values, begin = tokens(raw, np.r_[0, np.cumsum([len(t) for t in texts])].astype(np.int64))
         words = [values[a:b] for a, b in zip(begin[:-1], begin[1:], strict=True)]
-        found: dict[int, list[tuple[int, int]]] = {}
+        found: dict[int, dict[int, int]] = {}
         sizes = set()
         for i, w in enumerate(words):
             if len(w):
                 size = min(n, len(w))
                 sizes.add(size)
-                g, at = grams(w, np.array([0, len(w)]), size)
-                for x, p in zip(g.tolist(), at.tolist(), strict=True):
-                    found.setdefault(x, []).append((i, p))
-        seeds = np.array(sorted(found), np.uint64)
-        return cls([i for i, _ in rows], words, seeds, [found[int(s)] for s in seeds], sorted(sizes))
+                g, _ = grams(w, np.array([0, len(w)]), size)
+                for x in g.tolist():
+                    own = found.setdefault(x, {})
+                    own[i] = own.get(i, 0) + 1
+        seeds = sorted(found)
+        owners, times = (np.array([x for s in seeds for x in part(found[s])], np.int64) for part in (dict.keys, dict.values))
+        count = np.array([len(found[s]) for s in seeds], np.int64)
+        return cls([i for i, _ in rows], words, np.array(seeds, np.uint64), owners, times, np.cumsum(count) - count, count, sorted(sizes))
+
+    def limit(self, item: int, min_score: float) -> float:
+        return min_score if len(self.words[item]) >= SHORT_WORDS else 1.0
 
     def hits(self, values: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(places in values, seeds) of all seeds found."""
@@ -101,20 +115,6 @@ class Items:
             which.append(k[ok])
         return np.concatenate(where), np.concatenate(which)
 
-    def rare(self, docs: np.ndarray, rare_docs: int) -> list[set[int]]:
-        """For each seed, the items that it is a rare seed of."""
-        of_item: list[list[int]] = [[] for _ in self.ids]
-        for s, owners in enumerate(self.of_seed):
-            for i in {i for i, _ in owners}:
-                of_item[i].append(s)
-        out: list[set[int]] = [set() for _ in self.of_seed]
-        for i, seeds in enumerate(of_item):
-            seeds.sort(key=lambda s: (docs[s], s))
-            for k, s in enumerate(seeds):
-                if docs[s] <= rare_docs or 2 * k < len(seeds):
-                    out[s].add(i)
-        return out
-
 
 def align(items: list[np.ndarray], passages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Best local score, and first and last word of it in the passage, for each pair; all pairs at once, row by row."""
@@ -160,22 +160,68 @@ def _pieces(batches: Iterator[pa.RecordBatch], size: int = 256) -> Iterator[pa.R
             yield b.slice(i, size)
 
 
-def found_in(items: Items, rare: list[set[int]], values: np.ndarray, begin: np.ndarray, min_score: float) -> Iterator[tuple[int, int, float, int, int]]:
-    """(document, item, score, first word, end) of the aligned passages of a batch, the best for each pair."""
+def ends(items: Items, values: np.ndarray, begin: np.ndarray, min_score: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(items, documents, places in values): the words in which an alignment that reaches min_score can end, chunk by chunk."""
     where, which = items.hits(values, begin)
-    doc = np.searchsorted(begin, where, side="right") - 1
+    order = np.argsort(where, kind="stable")
+    where, which = where[order], which[order]
+    need = np.array([2 * items.limit(i, min_score) * len(w) for i, w in enumerate(items.words)])
+    half = np.array([max(1, span(len(w), min_score)) for w in items.words])
+    reach = span(max(map(len, items.words), default=0), min_score)
+    total = np.r_[0, np.cumsum(items.count[which])]
+    start = 0
+    while start < len(where):
+        # what ends in this chunk can begin before it
+        a = int(np.searchsorted(where, where[start] - reach))
+        b = max(start + 1, int(np.searchsorted(total, total[start] + CHUNK_HITS, side="right")) - 1)
+        n = items.count[which[a:b]]
+        entry = np.arange(n.sum()) + np.repeat(items.first[which[a:b]] - np.cumsum(n) + n, n)
+        item = items.owners[entry]
+        by = np.argsort(item.astype(np.uint16) if len(items.words) <= 1 << 16 else item, kind="stable")
+        item, entry, place = item[by], entry[by], np.repeat(where[a:b], n)[by]
+        doc = np.repeat(np.searchsorted(begin, where[a:b], side="right") - 1, n)[by]
+        group = np.cumsum(np.r_[False, (item[1:] != item[:-1]) | (doc[1:] != doc[:-1])])
+        # 2 for a shared word and -1 for another: sums are differences of this level; each group's lies below the one before
+        level = 3 * np.arange(len(place)) - place - group * (3 * len(place) + int(where[b - 1] - where[a]) + 1)
+        hit = np.flatnonzero((2 + level - np.minimum.accumulate(level) >= need[item]) & (place >= where[start]))
+        # alignments that end in one half of a window lie in the window: the item's words there, none more often than the item has it
+        if len(hit):
+            flag = np.zeros(group[-1] + 1, bool)
+            flag[group[hit]] = True
+            some = np.flatnonzero(flag[group])
+            window = place // half[item]
+            width = int(window.max()) + 2
+            name = group * width + window
+            keys = np.r_[name[some], name[some] + 1]  # a window is named by its later half
+            own = np.r_[entry[some], entry[some]]
+            order = np.lexsort((own, keys))
+            keys, own = keys[order], own[order]
+            cuts = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]) | (own[1:] != own[:-1])])
+            capped = np.minimum(np.diff(np.r_[cuts, len(keys)]), items.times[own[cuts]])
+            names, at = np.unique(keys[cuts], return_inverse=True)
+            most = np.bincount(at, capped)
+            hit = hit[2 * most[np.searchsorted(names, name[hit])] >= need[item[hit]]]
+        yield item[hit], doc[hit], place[hit]
+        start = b
+
+
+def span(words: int, min_score: float) -> int:
+    """Words of a passage, at most, that aligns with an item of so many words and reaches min_score."""
+    return int(np.ceil(words * (3 - 2 * min_score)))
+
+
+def found_in(items: Items, values: np.ndarray, begin: np.ndarray, min_score: float) -> Iterator[tuple[int, int, float, int, int]]:
+    """(document, item, score, first word, end) of the aligned passages of a batch, the best for each pair."""
     spans: dict[tuple[int, int], list[list[int]]] = {}
-    for d, p, s in sorted(zip(doc.tolist(), where.tolist(), which.tolist(), strict=True)):
-        for i, q in items.of_seed[s]:
-            if i in rare[s]:
-                m = len(items.words[i])
-                slack = 4 + m // 4
-                low, high = max(begin[d], p - q - slack), min(begin[d + 1], p - q + m + slack)
-                own = spans.setdefault((d, i), [])
-                if own and low < own[-1][1] and high - own[-1][0] <= 4 * m + 64:
-                    own[-1] = [min(low, own[-1][0]), max(high, own[-1][1])]
-                else:
-                    own.append([low, high])
+    for item, doc, place in ends(items, values, begin, min_score):
+        for i, d, p in zip(item.tolist(), doc.tolist(), place.tolist(), strict=True):
+            m = len(items.words[i])
+            low, high = max(begin[d], p + 1 - span(m, min_score)), p + 1
+            own = spans.setdefault((d, i), [])
+            if own and low < own[-1][1] and high - own[-1][0] <= 4 * m + 64:
+                own[-1] = [min(low, own[-1][0]), max(high, own[-1][1])]
+            else:
+                own.append([low, high])
     todo = sorted(((d, i, lo, hi) for (d, i), s in spans.items() for lo, hi in s), key=lambda x: x[3] - x[2])
     out: dict[tuple[int, int], tuple[float, int, int]] = {}
     for k in range(0, len(todo), 256):
@@ -183,58 +229,35 @@ def found_in(items: Items, rare: list[set[int]], values: np.ndarray, begin: np.n
         best, first, last = align([items.words[i] for _, i, _, _ in part], [values[lo:hi] for _, _, lo, hi in part])
         for (d, i, lo, _), s, a, z in zip(part, best.tolist(), first.tolist(), last.tolist(), strict=True):
             score = s / (2 * len(items.words[i]))
-            if score >= min_score and score > out.get((d, i), (0.0,))[0]:
+            if score >= items.limit(i, min_score) and score > out.get((d, i), (0.0,))[0]:
                 out[d, i] = (score, lo + a - int(begin[d]), lo + z + 1 - int(begin[d]))
     for (d, i), x in sorted(out.items()):
         yield d, i, *x
 
 
-def _blocks(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str, item_text: str, n: int, rare_docs: int, block_items: int) -> Iterator[tuple[Items, list[set[int]]]]:
-    """Each block of items with the rare seeds that the whole corpus gives it."""
-    rows = benchmark.select(item_col, item_text)
+def _blocks(benchmark: DataFrame, item_col: str, item_text: str, block_items: int) -> Iterator[Items]:
     batch: list[tuple] = []
-
-    def counted(batch: list[tuple]) -> tuple[Items, list[set[int]]]:
-        items = Items.of(batch, n)
-
-        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = np.zeros(len(items.seeds), np.int64)
-            for b in _pieces(batches):
-                _, values, begin = _columns(b)
-                where, which = items.hits(values, begin)
-                doc = np.searchsorted(begin, where, side="right") - 1
-                if len(doc):
-                    pairs = np.unique(np.stack([doc, which], 1), axis=0)
-                    total += np.bincount(pairs[:, 1], minlength=len(total))
-            k = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(total[k])], names=["seed", "n"])
-
-        docs_of = np.zeros(len(items.seeds), np.int64)
-        for r in docs.select(id_col, text_col).mapInArrow(count, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")).toLocalIterator():
-            docs_of[r.seed] = r.n
-        return items, items.rare(docs_of, rare_docs)
-
-    for r in rows.toLocalIterator():
+    for r in benchmark.select(item_col, item_text).toLocalIterator():
         batch.append(tuple(r))
         if len(batch) == block_items:
-            yield counted(batch)
+            yield Items.of(batch, SEED_WORDS)
             batch = []
     if batch:
-        yield counted(batch)
+        yield Items.of(batch, SEED_WORDS)
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", n: int = SEED_WORDS, min_score: float = MIN_SCORE, rare_docs: int = RARE_DOCS, block_items: int = BLOCK_ITEMS) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", min_score: float = MIN_SCORE, block_items: int = BLOCK_ITEMS) -> DataFrame:
     """(id, item, score, start, end): documents that hold an item, and where (words, end exclusive)."""
     kinds = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
     schema = f"`{id_col}` {kinds[0]}, `{item_col}` {kinds[1]}, score double, start long, end long"
     item_type = pa.array([0], pa.int64()).type if kinds[1] in ("bigint", "int") else pa.string()
     out = None
-    for items, rare in _blocks(docs, benchmark, id_col, text_col, item_col, item_text, n, rare_docs, block_items):
+    for items in _blocks(benchmark, item_col, item_text, block_items):
 
-        def run(batches: Iterator[pa.RecordBatch], items: Items = items, rare: list[set[int]] = rare) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], items: Items = items) -> Iterator[pa.RecordBatch]:
             for b in _pieces(batches):
                 ids, values, begin = _columns(b)
-                rows = list(found_in(items, rare, values, begin, min_score))
+                rows = list(found_in(items, values, begin, min_score))
                 columns = [ids.take(pa.array([r[0] for r in rows], pa.int64())), pa.array([items.ids[r[1]] for r in rows], item_type)]
                 columns += [pa.array([r[k] for r in rows], t) for k, t in ((2, pa.float64()), (3, pa.int64()), (4, pa.int64()))]
                 yield pa.RecordBatch.from_arrays(columns, names=[id_col, item_col, "score", "start", "end"])
@@ -244,15 +267,15 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     return out if out is not None else docs.sparkSession.createDataFrame([], schema)
 
 
-def without_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", n: int = SEED_WORDS, min_score: float = MIN_SCORE, rare_docs: int = RARE_DOCS, block_items: int = BLOCK_ITEMS) -> DataFrame:
+def without_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", min_score: float = MIN_SCORE, block_items: int = BLOCK_ITEMS) -> DataFrame:
     """The rows of docs, all columns, that hold no item. Each block of items filters where the rows are read."""
-    for items, rare in _blocks(docs, benchmark, text_col, text_col, item_col, item_text, n, rare_docs, block_items):
+    for items in _blocks(benchmark, item_col, item_text, block_items):
 
-        def run(batches: Iterator[pa.RecordBatch], items: Items = items, rare: list[set[int]] = rare) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], items: Items = items) -> Iterator[pa.RecordBatch]:
             for b in _pieces(batches):
                 _, values, begin = _columns(b.select([text_col, text_col]))
                 keep = np.ones(b.num_rows, bool)
-                keep[[r[0] for r in found_in(items, rare, values, begin, min_score)]] = False
+                keep[[r[0] for r in found_in(items, values, begin, min_score)]] = False
                 yield b.filter(pa.array(keep))
 
         docs = docs.mapInArrow(run, docs.schema)
