@@ -43,6 +43,13 @@ def test_an_edited_item_in_many_documents(spark, copies):
     assert decontaminate.without_leaks(docs, benchmark).count() == 0
 
 
+def test_passages_without_words_in_a_row():
+    item = [f"w{k}" for k in range(15)]
+    every = lambda n: " ".join("x" if k % n == n - 1 else w for k, w in enumerate(item))
+    docs = ["a b " + every(4) + " c", "a b " + every(3) + " c", "d " + " x ".join(item) + " e", "w3 x " * 40]
+    assert set(found(docs, [" ".join(item)])) == {(0, 0), (1, 0), (2, 0)}
+
+
 @pytest.mark.parametrize("chunk", [1, 60, 1 << 20])
 @pytest.mark.parametrize("min_score", [0.3, 0.5, 0.8])
 def test_found_as_by_aligning_all(monkeypatch, chunk, min_score):
