@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from tessera.llm import decontaminate
 
 # --- decontamination
@@ -66,3 +67,18 @@ def test_found_as_by_aligning_all(monkeypatch, chunk, min_score):
     want = unseeded(docs, list(map(" ".join, items)), min_score)
     assert found(docs, list(map(" ".join, items)), min_score) == want
     assert want
+
+
+# --- pipeline
+
+
+@pytest.mark.parametrize("copies", [10, 1000])
+def test_one_of_many_copies_stays(spark, copies):
+    clean = "\n".join(" ".join(f"word{k}x{j}" for j in range(12)) for k in range(20))
+    own = [(5000 + i, "\n".join([f"own{i} line {j}" for j in range(9)] + ["shared footer"])) for i in range(10)]
+    rows = [(i, clean, "en", "s", len(clean)) for i in range(copies)] + [(i, t, "en", "s", len(t)) for i, t in own] + [(9000, " \n", "en", "s", 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    lines = corpus_pipeline.lines(spark, docs, "")
+    assert {r.text for r in lines.where("doc_id >= 5000").collect()} == {t.removesuffix("\nshared footer") for _, t in own}
+    left = corpus_pipeline.near_duplicates(spark, lines, "").where("doc_id < 5000").collect()
+    assert [(r.doc_id, r.text, r.n_chars) for r in left] == [(0, clean, len(clean))]
