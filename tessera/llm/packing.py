@@ -15,7 +15,9 @@ Tokens: a document's ids are those of the tokenizer, without special tokens, and
 an end id. The BPE vocabulary splits text at white space into words and words into
 pre-tokens that are independent of each other, so ids are kept by word, as many as
 a bounded table holds. Texts with characters outside a set whose lower case and
-normal form are plain go through the tokenizer as they are.
+normal form are plain go through the tokenizer as they are. The literals of special
+tokens are text like any other, or, with special_tokens, get the tokens' own ids as
+tokenizer.encode gives them; texts with one go through the tokenizer then.
 
 Defined cases: a null text is empty and has the end id only; repeated rows are
 packed each; null ids are carried; texts of any length are cut; an empty table
@@ -55,11 +57,13 @@ TABLE_WORDS = 300_000
 class Encoder:
     """Ids of texts, by word."""
 
-    def __init__(self, path: str, table_words: int = TABLE_WORDS) -> None:
+    def __init__(self, path: str, table_words: int = TABLE_WORDS, special_tokens: bool = False) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not special_tokens
+        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()] if special_tokens else []
+        self.added = re.compile("|".join(added), re.IGNORECASE) if added else None
         self.model = self.tokenizer.model
         self.table_words = table_words
         self.clear()
@@ -92,7 +96,7 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text. Many short texts at once are cheaper than one by one."""
-        odd = [bool(ODD.search(t)) for t in texts]
+        odd = [bool(ODD.search(t) or self.added and self.added.search(t)) for t in texts]
         words = [[] if o else t.lower().split() for t, o in zip(texts, odd, strict=True)]
         flat = list(chain.from_iterable(words))
         table = self.words
@@ -176,7 +180,7 @@ class Packer:
                 self.tokens += len(ids)
 
 
-def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, capacity: int = CAPACITY, batch: int = BATCH_SEQUENCES, quadratic: float = QUADRATIC, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, capacity: int = CAPACITY, batch: int = BATCH_SEQUENCES, quadratic: float = QUADRATIC, with_ids: bool = False, special_tokens: bool = False) -> DataFrame:
     """A row for each piece, RESULT; with_ids adds the ids themselves.
 
     tokenizer: path of the tokenizer's file. It is read here and sent along, so
@@ -184,7 +188,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     """
     with open(tokenizer, "rb") as f:
         shared = docs.sparkSession.sparkContext.broadcast(f.read())
-    name = f"encoder-{zlib.crc32(shared.value)}-{len(shared.value)}"
+    name = f"encoder-{zlib.crc32(shared.value)}-{len(shared.value)}-{special_tokens}"
     schema = RESULT.replace("doc_id", f"`{id_col}`", 1) + (", ids array<long>" if with_ids else "")
 
     def rows(found: list[tuple]) -> pa.RecordBatch:
@@ -220,7 +224,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
             with tempfile.NamedTemporaryFile(suffix=".json") as copy:  # the library reads only files; gone at once
                 copy.write(shared.value)
                 copy.flush()
-                encoder = kept[name] = Encoder(copy.name)
+                encoder = kept[name] = Encoder(copy.name, special_tokens=special_tokens)
         packer = Packer(TaskContext.get().partitionId() << 40, capacity, batch, quadratic)
         end, found = np.array([end_id], np.uint32), []
         for doc, ids in encoded(batches, encoder):

@@ -32,7 +32,7 @@ def tokenizer_file() -> str:
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_file())
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_file(), special_tokens=True)
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

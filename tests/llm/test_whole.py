@@ -1,12 +1,13 @@
 """Cases that a shortened job would miss."""
 
 import random
+import zlib
 
 import numpy as np
 import pytest
 
 import corpus_pipeline
-from tessera.llm import decontaminate
+from tessera.llm import decontaminate, queries
 
 # --- decontamination
 
@@ -82,3 +83,21 @@ def test_one_of_many_copies_stays(spark, copies):
     assert {r.text for r in lines.where("doc_id >= 5000").collect()} == {t.removesuffix("\nshared footer") for _, t in own}
     left = corpus_pipeline.near_duplicates(spark, lines, "").where("doc_id < 5000").collect()
     assert [(r.doc_id, r.text, r.n_chars) for r in left] == [(0, clean, len(clean))]
+
+
+# --- packing
+
+
+def test_literals_of_special_tokens(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    texts = ["foo <|endoftext|> bar", "<|startoftext|>a<|endoftext|>", "x <|ENDOFTEXT|> y", "<|endoftext", "é <|endoftext|>", "plain words", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    t = Tokenizer.from_file(queries.tokenizer_file())
+    want = {i: t.encode(x or "", add_special_tokens=False).ids + [2] for i, x in enumerate(texts)}
+    whole = {r.doc_id: r for r in queries.op5_packing(spark, str(tmp_path)).where("length = doc_tokens").collect()}
+    assert len(want[0]) == 4 and {0, 1} & set(whole)
+    for i, r in whole.items():
+        assert r.ids_crc32 == zlib.crc32(np.array(want[i], "<u4").tobytes())
+    assert {r.doc_id: r.doc_tokens for r in queries.op5_packing(spark, str(tmp_path)).collect()} == {i: len(x) for i, x in want.items()}
