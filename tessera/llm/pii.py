@@ -225,7 +225,7 @@ def _slashed(order: str) -> list[date]:
 
 
 #: Cheap test that a text can hold anything below.
-ANY = re.compile(r"[0-9]|@")
+ANY = re.compile(r"[0-9]|@|[=:] ?[\"']")
 #: Kinds by precedence.
 KINDS = {
     "mail": re.compile(r"(?<![A-Za-z0-9._%+-])([A-Za-z0-9._%+-]{1,64})@((?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24})(?![A-Za-z0-9-])"),

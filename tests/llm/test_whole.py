@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from tessera.llm import decontaminate, queries
+from tessera.llm import decontaminate, pii, queries
 
 # --- decontamination
 
@@ -101,3 +101,15 @@ def test_literals_of_special_tokens(spark, tmp_path):
     for i, r in whole.items():
         assert r.ids_crc32 == zlib.crc32(np.array(want[i], "<u4").tobytes())
     assert {r.doc_id: r.doc_tokens for r in queries.op5_packing(spark, str(tmp_path)).collect()} == {i: len(x) for i, x in want.items()}
+
+
+# --- pseudonyms
+
+
+def test_a_secret_of_letters_alone():
+    names = pii.Pseudonyms()
+    text = "password = \"correcthorsebattery\", TOKEN:'abcdefgh'"
+    new, found = names.replace(text)
+    assert [k for *_, k in found] == ["secret", "secret"] and "correcthorsebattery" not in new and "abcdefgh" not in new
+    assert names.replace(text + " 7")[0] == new + " 7"
+    assert pii.Pseudonyms(back=True).replace(new)[0] == text
