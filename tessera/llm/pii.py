@@ -9,20 +9,29 @@ have equal pseudonyms in all documents and different values never meet; a docume
 is changed on its own, and nothing is shuffled.
 
 The permutation of 0 .. n - 1 is a balanced Feistel network over the two halves of
-the value in a square that covers n, with keyed BLAKE2b as its round function;
+the value in a square that covers n. Its round function is keyed BLAKE2b in counter
+mode, as wide as the half and 64 bits more, so a half of any length is mixed whole;
 values that leave the range go through it again (cycle walking). The same network
 run backwards with the key gives the values back.
 
+A card, a phone number or an IBAN may stand among other groups of digits or letters (an expiry date,
+a word), so a find that fails its check is tried again at every shorter end, and
+then from every later start, that lies between groups. Secrets are found by their assignment: quoted ones of any
+characters of their alphabet, others only if they hold letters and digits both.
+
 Defined cases: null stays null, and empty texts stay empty; texts without valid
 personal data come back as they are; digits within longer runs of digits or of
 letters are no numbers; overlapping finds go to the first kind of KINDS; repeated
-rows are changed alike; other columns are not read.
+rows are changed alike; a very long text is one value in memory, and its finds are
+looked for kind by kind; ids are carried whatever their type; other columns, also
+ones named like a result, are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect
 from collections.abc import Iterator
 from datetime import date, timedelta
 from functools import lru_cache
@@ -46,7 +55,9 @@ class Feistel:
 
     def _f(self, i: int, half: int) -> int:
         data = self.tweak + b"\0" + bytes([i]) + half.to_bytes((half.bit_length() + 7) // 8 or 1, "big")
-        return int.from_bytes(hashlib.blake2b(data, key=self.key, digest_size=32).digest(), "big") % self.side
+        blocks = -(-(self.side.bit_length() + 64) // 512)
+        wide = b"".join(hashlib.blake2b(data, key=self.key, salt=b.to_bytes(16, "big")).digest() for b in range(blocks))
+        return int.from_bytes(wide, "big") % self.side
 
     def apply(self, x: int) -> int:
         while True:
@@ -90,8 +101,16 @@ def is_hex(value: str) -> bool:
 CLASSES = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
 FIRST_DAY, DAYS = date(1900, 1, 1), (date(2100, 1, 1) - date(1900, 1, 1)).days
 
-#: Lengths of IBANs by country (fixed values).
-IBAN_LENGTH = {"AT": 20, "BE": 16, "CH": 21, "DE": 22, "DK": 18, "ES": 24, "FI": 18, "FR": 27, "GB": 22, "IE": 22, "IT": 27, "LU": 20, "NL": 18, "NO": 15, "PL": 28, "PT": 25, "SE": 24}
+#: Lengths of IBANs by country, as the IBAN registry has them (fixed values).
+IBAN_LENGTH = {
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BI": 27, "BR": 29, "BY": 28, "CH": 21, "CR": 22, "CY":
+    28, "CZ": 24, "DE": 22, "DJ": 27, "DK": 18, "DO": 28, "EE": 20, "EG": 29, "ES": 24, "FI": 18, "FK": 18, "FO": 18, "FR": 27, "GB": 22, "GE": 22,
+    "GI": 23, "GL": 18, "GR": 27, "GT": 28, "HN": 28, "HR": 21, "HU": 28, "IE": 22, "IL": 23, "IQ": 23, "IS": 26, "IT": 27, "JO": 30, "KW": 30, "KZ":
+    20, "LB": 28, "LC": 32, "LI": 21, "LT": 20, "LU": 20, "LV": 21, "LY": 25, "MC": 27, "MD": 24, "ME": 22, "MK": 19, "MN": 20, "MR": 27, "MT": 31,
+    "MU": 30, "NI": 28, "NL": 18, "NO": 15, "OM": 23, "PK": 24, "PL": 28, "PS": 29, "PT": 25, "QA": 29, "RO": 24, "RS": 22, "RU": 33, "SA": 24, "SC":
+    31, "SD": 18, "SE": 24, "SI": 19, "SK": 24, "SM": 27, "SO": 23, "ST": 25, "SV": 28, "TL": 23, "TN": 24, "TR": 26, "UA": 29, "VA": 22, "VG": 24,
+    "XK": 20, "YE": 30,
+}
 
 
 class Pseudonyms:
@@ -195,10 +214,17 @@ class Pseudonyms:
         return f"{self.classed('mail', m[1])}@{m[2]}"
 
     def secret(self, m: re.Match) -> str | None:
-        return m[0][: m.start(1) - m.start()] + self.classed("secret", m[1]) + m[0][m.end(1) - m.start() :]
+        kind = "quoted" if m["quoted"] else "plain"
+        value, a, b = m[kind], m.start(kind) - m.start(), m.end(kind) - m.start()
+        new = self.classed("secret", value)
+        if kind == "plain":  # letters and digits both, so that it is found again; the way back goes through the same values
+            while new.isdigit() or not any(c.isdigit() for c in new) or not any(c.isalpha() for c in new):
+                new = self.classed("secret", new)
+        return m[0][:a] + new + m[0][b:]
 
     def _of(self, kind: str, value: str) -> str | None:
-        return getattr(self, kind)(KINDS[kind].fullmatch(value))
+        m = KINDS[kind].fullmatch(value)
+        return getattr(self, kind)(m) if m else None
 
     def replace(self, text: str) -> tuple[str, list[tuple[int, int, str]]]:
         """The text with pseudonyms, and (start, end, kind) of each in the text given."""
@@ -206,9 +232,23 @@ class Pseudonyms:
             return text, []
         found: list[tuple[int, int, str, str]] = []
         for kind, pattern in KINDS.items():
-            for m in pattern.finditer(text):
-                if all(m.end() <= a or m.start() >= b for a, b, *_ in found) and (new := self.of(kind, m[0])) is not None:
-                    found.append((m.start(), m.end(), kind, new))
+            earlier = sorted(found)
+            starts = [f[0] for f in earlier]
+            at = 0
+            while m := pattern.search(text, at):
+                at = m.end()
+                k = bisect(starts, m.start())
+                if k and earlier[k - 1][1] > m.start():
+                    continue
+                room = starts[k] - m.start() if k < len(starts) else len(m[0])
+                for value in _ends(kind, m[0]):
+                    if len(value) <= room and (new := self.of(kind, value)) is not None:
+                        at = m.start() + len(value)
+                        found.append((m.start(), at, kind, new))
+                        break
+                else:
+                    if kind in GROUPED and (gap := GAP.search(m[0])):
+                        at = m.start() + gap.end()
         found.sort()
         out, at = [], 0
         for a, b, _, new in found:
@@ -217,6 +257,14 @@ class Pseudonyms:
         return "".join([*out, text[at:]]), [(a, b, k) for a, b, k, _ in found]
 
 
+def _ends(kind: str, value: str) -> Iterator[str]:
+    """The find, and for numbers in groups what is left of it without the last groups."""
+    yield value
+    if kind in GROUPED:
+        for m in reversed(list(GAP.finditer(value))):
+            yield value[: m.start()]
+
+
 @lru_cache(maxsize=2)
 def _slashed(order: str) -> list[date]:
     """Dates that are written in this order with slashes: days first only where the first number is no month."""
@@ -224,18 +272,26 @@ def _slashed(order: str) -> list[date]:
     return [d for d in days if order == "mdy" or d.day > 12]
 
 
+#: Kinds that are written in groups, and what lies between these.
+GROUPED, GAP = ("card", "iban", "phone"), re.compile("[ -]")
 #: Cheap test that a text can hold anything below.
-ANY = re.compile(r"[0-9]|@|[=:] ?[\"']")
+ANY = re.compile(r"[0-9@]|[=:>] ?[\"']")
 #: Kinds by precedence.
 KINDS = {
     "mail": re.compile(r"(?<![A-Za-z0-9._%+-])([A-Za-z0-9._%+-]{1,64})@((?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24})(?![A-Za-z0-9-])"),
-    "secret": re.compile(r"(?i:token|secret|password|api_?key|access_?key) ?[=:] ?[\"']([A-Za-z0-9+/_=.-]{8,256})[\"']"),
+    "secret": re.compile(
+        r"(?i:token|secret|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|private[_-]?key|credentials?)[\"']? ?(?:[=:]|=>) ?"
+        r"(?:[\"'](?P<quoted>[!#-&(-~]{8,8192})[\"']|(?P<plain>(?=[A-Za-z+/_=.-]{0,8192}[0-9])(?=[0-9+/_=.-]{0,8192}[A-Za-z])[A-Za-z0-9+/_=.-]{7,8191}[A-Za-z0-9+/_=]))"
+    ),
     "iban": re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?![A-Za-z0-9])"),
     "ip": re.compile(r"(?<![0-9A-Za-z.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9A-Za-z]|\.[0-9])"),
     "day": re.compile(r"(?<![0-9A-Za-z/.-])(?:[0-9]{4}([-/.])[0-9]{2}\1[0-9]{2}|[0-9]{2}([-/.])[0-9]{2}\2[0-9]{4})(?![0-9A-Za-z]|[-/.][0-9])"),
     "ssn": re.compile(r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z]|-[0-9])"),
     "card": re.compile(r"(?<![0-9A-Za-z+.-])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z]|[-.][0-9])"),
-    "phone": re.compile(r"(?<![0-9A-Za-z+(.-])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}([.-])[0-9]{3}\1[0-9]{4})(?![0-9A-Za-z]|[-.][0-9])"),
+    "phone": re.compile(
+        r"(?:(?<![0-9A-Za-z+.-])\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,14}(?:[ .-][0-9]{2,10}){0,5}|"
+        r"(?<![0-9A-Za-z+(.-])(?:\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}([.-])[0-9]{3}\1[0-9]{4}))(?![0-9A-Za-z]|[-.][0-9])"
+    ),
 }
 
 RESULT = "text string, n_replaced long, kinds map<string,int>, spans array<struct<start:int,end:int,kind:string>>"
