@@ -104,6 +104,35 @@ def layout(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, list]:
     return raw, offsets - offsets[0], np.array([-(1 << 63) if i is None else i for i in ids], np.int64), ids
 
 
+def word_bounds(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of all words, and the place of each one's document."""
+    n = len(raw)
+    word = ~((raw == 32) | ((raw >= 9) & (raw <= 13)))
+    edge = np.zeros(n + 1, bool)
+    edge[offsets] = True
+    before, after = np.r_[False, word[:-1]], np.r_[word[1:], False]
+    starts = np.flatnonzero(word & (~before | edge[:n]))
+    ends = np.flatnonzero(word & (~after | edge[1 : n + 1])) + 1
+    return starts, ends, np.searchsorted(offsets[:-1], starts, side="right") - 1
+
+
+def word_hashes(letters: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent 64-bit hashes of each word, the halves of XXH3-128 of its bytes.
+
+    letters: the bytes of all words, one after the other. Distinct words are hashed once.
+    """
+    import xxhash
+
+    if not len(lengths):
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    offsets = np.zeros(len(lengths) + 1, np.int64)
+    np.cumsum(lengths, out=offsets[1:])
+    coded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(letters))]).dictionary_encode()
+    own = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, coded.dictionary.to_pylist())), "<u8").reshape(-1, 2)
+    at = coded.indices.to_numpy()
+    return own[at, 0], own[at, 1]
+
+
 def by_shard(keys: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
     """The shard of each of these sorted distinct hashes, and their order by shard."""
     shard = ((keys >> np.uint64(32)) % np.uint64(shards)).astype(np.int32)

@@ -8,81 +8,184 @@ vector (16 segments) is at most 1 apart. So every distinct fingerprint enters,
 for each half, the grid cell of its own counts as a point, and the cells with
 one count raised by one as a visitor; a cell compares its points with all that
 it holds, first by the Manhattan bound over all segments, then by the exact
-Hamming distance. Larger limits use more parts of the vector.
-
-For near copies in a corpus (near_copies) a fingerprint has two words, the second
-from the same values spread anew. A distance of 20 of 128 bits is then far from
-chance (64 on average), and the grid has eight parts of 16 bits, so that pairs at
-a similarity of 0.8 meet in one of them with a probability above 0.95.
+Hamming distance. Larger limits use more parts of the vector, so that one part is
+at most 1 apart: the grid finds every link within its limit.
+
+Near copies in a corpus (one_of_each) are further apart than any such grid can
+hold, so their fingerprints are made for it (Bands): four words of 64 bits over
+all shingles of one to five words. The share of differing bits estimates the angle
+between two documents' shingle counts; the limit is the angle of a similarity
+(cosine) of 0.8. Segments of the grid have one bit there, as counts of wider ones
+make cells coarser; a part has 18 of them. Bits flip where a document's shingles
+are nearly balanced, so a document visits the cells that its four least certain
+bits of a part lead to, instead of all neighbours. What meets is compared over all
+256 bits. Recall is measured, not certain; see the README.
 
 Equal texts share a fingerprint and are one node. A cell emits links that span
-its linked sets, not all pairs. Cells above a size are dealt anew by exact
-16-bit blocks (one of four must be equal), so that no task gets an unbounded
-cell; in a large group the comparison goes on by blocks of the bits that vary.
+its linked sets, not all pairs. Cells above a size are dealt into chunks, and each
+pair of chunks is a cell of its own, so no task gets an unbounded cell and every
+pair still meets. Joins on keys that may hold most rows go through hot_join.
 
 Defined cases: null and empty texts and texts of white space have fingerprint
 zero and are linked like any other; texts of fewer words than a shingle are one
-shingle; repeated rows are in one class, each is returned; a null id takes part
-and never names a class unless all its members are null.
+shingle; very long texts are taken whole, some thousand shingles at a time;
+repeated rows are in one class, each is returned by classes, and one stays in
+one_of_each; a null id takes part and never names a class unless all its members
+are null; ids may have any type that has an order; an empty table gives an empty
+result; other columns are not read, and those of one_of_each may have any names.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._common import cut
-from ._exchange import mix
-from .components import components
+from ._exchange import layout, mix, word_bounds, word_hashes
+from .components import components, hot_join
 
-#: Of 128 bits. Texts that share 0.8 of their 5-word shingles lie about 15 apart on 3-word shingles.
-NEAR_BITS = 20
-#: A cell with more rows is dealt anew.
+#: A cell with more rows is dealt into chunks of so many.
 CELL_ROWS = 50_000
+#: Of near copies: cosine of shingle counts, at least.
+SIMILARITY = 0.8
+
+
+@dataclass(frozen=True)
+class Bands:
+    """Fingerprints of near copies: words of 64 bits, widths of shingles, parts of the grid, their bits, and uncertain bits kept of each."""
+
+    words: int = 4
+    widths: tuple[int, ...] = (1, 2, 3, 4, 5)
+    parts: int = 14
+    bits: int = 18
+    weak: int = 4
+
+    def limit(self, similarity: float) -> int:
+        return int(64 * self.words * math.acos(similarity) / math.pi)
+
+    @property
+    def per_long(self) -> int:
+        """Parts whose uncertain bits fit one long."""
+        return 1 if self.bits < 2 else int(62 // (self.weak * math.log2(self.bits)))
 
+    @property
+    def weak_names(self) -> list[str]:
+        return [f"weak{k}" for k in range(-(-self.parts // self.per_long))]
 
-def fingerprint(text: str | None, width: int = 3, words_out: int = 1) -> np.ndarray:
-    """The fingerprint of the whole text, in unsigned 64-bit words."""
+
+def fingerprint(text: str | None, width: int = 3) -> int:
+    """The fingerprint of the whole text."""
     import xxhash
 
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return np.zeros(words_out, np.uint64)
+        return 0
     joined, h = b" ".join(words), xxhash.xxh64_intdigest
     n = max(1, len(words) - width + 1)
     if n == 1:
-        values = np.array([h(joined, 42)], np.uint64)
-    else:
-        lengths = np.fromiter(map(len, words), np.int64, len(words))
-        ends = np.cumsum(lengths + 1) - 1
-        starts = (ends - lengths)[:n].tolist()
-        values = np.fromiter((h(joined[a:b], 42) for a, b in zip(starts, ends[width - 1 :].tolist(), strict=True)), np.uint64, n)
-    out = np.zeros(words_out, np.uint64)
-    for k in range(words_out):
-        counts = np.zeros(64, np.int64)
-        for i in range(0, n, 8192):
-            counts += np.unpackbits(values[i : i + 8192].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        out[k] = np.packbits(2 * counts > n, bitorder="little").view(np.uint64)[0]
-        values = mix(values)
+        return h(joined, 42)
+    lengths = np.fromiter(map(len, words), np.int64, len(words))
+    ends = np.cumsum(lengths + 1) - 1
+    starts = ends - lengths
+    counts = np.zeros(64, np.int64)
+    for i in range(0, n, 8192):
+        values = np.array([h(joined[a:b], 42) for a, b in zip(starts[i : min(n, i + 8192)].tolist(), ends[i + width - 1 : i + width - 1 + 8192].tolist(), strict=True)], np.uint64)
+        counts += bit_counts(values[:, None])
+    return int(np.packbits(2 * counts > n, bitorder="little").view(np.uint64)[0])
+
+
+def bit_counts(values: np.ndarray) -> np.ndarray:
+    """How many rows have each bit; values has a column for each word."""
+    n = len(values)
+    bits = np.unpackbits(np.ascontiguousarray(values).view(np.uint8).reshape(n, -1), axis=1, bitorder="little")
+    whole = n - n % 255  # sums of 255 bits fit a byte
+    out = bits[whole:].sum(axis=0, dtype=np.int64)
+    if whole:
+        out += bits[:whole].reshape(-1, 255, bits.shape[1]).sum(axis=1, dtype=np.uint8).sum(axis=0, dtype=np.int64)
     return out
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, words: int = 1) -> DataFrame:
-    """(id, fp, fp1, ...): the fingerprint's words as signed longs, for every row."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
+    """(id, fp): the fingerprint as a signed long, for every row."""
     kind = docs.schema[id_col].dataType.simpleString()
-    names = fp_names(words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if b.num_rows:
-                fps = np.stack([fingerprint(t.as_py(), width, words) for t in b.column(1)]).view(np.int64)
-                yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(fps[:, k].copy()) for k in range(words))], names=[id_col, *names])
+            fps = np.array([fingerprint(t.as_py(), width) for t in b.column(1)], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps)], names=[id_col, "fp"])
+
+    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, fp long")
+
+
+def balance(words: np.ndarray, shape: Bands) -> tuple[np.ndarray, int]:
+    """For each bit how many shingles have it, and the number of shingles, of all widths; words are hashes."""
+    counts, total = np.zeros(64 * shape.words, np.int64), 0
+    longest, step = max(shape.widths), 8192
+    for i in range(0, len(words), step):
+        part = words[i : i + step + longest - 1]
+        h, found = part, []
+        for width in range(1, longest + 1):
+            if width in shape.widths:
+                found.append(h[:step])
+            h = mix(h[:-1] * np.uint64(3) + part[width:])
+        values = np.empty((sum(map(len, found)), shape.words), np.uint64)
+        values[:, 0] = mix(np.concatenate(found))
+        for k in range(1, shape.words):
+            values[:, k] = mix(values[:, k - 1] ^ np.uint64(k))
+        counts += bit_counts(values)
+        total += len(values)
+    return counts, total
+
+
+def wide_fingerprint(words: np.ndarray, shape: Bands) -> tuple[np.ndarray, np.ndarray]:
+    """Words of the fingerprint, and the least certain bits of each part, packed."""
+    counts, total = balance(words, shape)
+    margin = np.abs(2 * counts - total)[: shape.parts * shape.bits].reshape(shape.parts, shape.bits)
+    weakest = np.argsort(margin, axis=1, kind="stable")[:, : shape.weak]
+    codes = weakest @ (shape.bits ** np.arange(shape.weak))
+    longs = np.zeros(len(shape.weak_names) * shape.per_long, np.int64)
+    longs[: shape.parts] = codes
+    packed = longs.reshape(-1, shape.per_long) @ (shape.bits ** (shape.weak * np.arange(shape.per_long)))
+    return np.packbits(2 * counts > total, bitorder="little").view(np.uint64), packed
+
+
+def wide_fingerprints(docs: DataFrame, text_col: str, shape: Bands) -> DataFrame:
+    """The columns of docs without the text, the fingerprint's words, a long that names it, and its uncertain bits."""
+    rest = [c for c in docs.columns if c != text_col]
+    names = [*fp_names(shape.words), "node", *shape.weak_names]
+    kinds = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in rest] + [f"{n} long" for n in names]
+    lower = np.array([i + 32 if 65 <= i <= 90 else i for i in range(256)], np.uint8)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 512):
+                b = batch.slice(i, 512)
+                raw, offsets, _, _ = layout(pa.table({"id": pa.nulls(b.num_rows, pa.int64()), "text": pc.fill_null(b.column(0), "")}))
+                raw = lower[raw]
+                starts, ends, doc = word_bounds(raw, offsets)
+                words, _ = word_hashes(raw[~((raw == 32) | ((raw >= 9) & (raw <= 13)))], ends - starts)
+                at = np.searchsorted(doc, np.arange(b.num_rows + 1))
+                fps, weak = zip(*(wide_fingerprint(words[x:y], shape) for x, y in zip(at[:-1], at[1:], strict=True)), strict=True)
+                fps, weak = np.stack(fps), np.stack(weak)
+                columns = [*(pa.array(fps[:, k].view(np.int64)) for k in range(shape.words)), pa.array(names_of(fps).view(np.int64)), *(pa.array(weak[:, k]) for k in range(weak.shape[1]))]
+                yield pa.RecordBatch.from_arrays([*(b.column(1 + k) for k in range(len(rest))), *columns], names=[*rest, *names])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, " + ", ".join(f"{n} long" for n in names))
+    return docs.select(text_col, *rest).mapInArrow(run, ", ".join(kinds))
+
+
+def names_of(fps: np.ndarray) -> np.ndarray:
+    """A number for each fingerprint: its word, or a hash of its words."""
+    out = fps[:, 0]
+    for k in range(1, fps.shape[1]):
+        out = mix(out * np.uint64(5) + fps[:, k])
+    return np.ascontiguousarray(out)
 
 
 def fp_names(words: int) -> list[str]:
@@ -109,31 +212,43 @@ def parts_of(limit: int) -> int:
     return parts
 
 
-def grid_rows(fps: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Cells, the row of the fingerprint, and the visitor flag; fps has a column for each word.
-
-    Two words have four parts each.
-    """
-    words = fps.shape[1]
-    parts = parts_of(limit) if words == 1 else 4
+def grid_rows(fps: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """Cells and the rows of the fingerprints in them; the lowest bit of a cell tells visitors."""
+    x = fps.view(np.uint64).reshape(-1)
+    parts = parts_of(limit)
     bits = 64 // parts
     mask = np.uint64((1 << bits) - 1)
-    cells, rows, visitors = [], [], []
-    every = np.arange(len(fps))
-    for word in range(words):
-        counts = _counts(fps[:, word].view(np.uint64))
-        for part in range(parts):
-            v = (counts >> np.uint64(part * bits)) & mask
-            name = np.uint64((word * parts + part + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
-            cells.append(mix(v ^ name))
-            rows.append(every)
-            visitors.append(np.zeros(len(fps), bool))
-            for j in range(0, bits, 2):
-                up = np.flatnonzero(((v >> np.uint64(j)) & np.uint64(3)) < 2)
-                cells.append(mix((v[up] + (np.uint64(1) << np.uint64(j))) ^ name))
-                rows.append(up)
-                visitors.append(np.ones(len(up), bool))
-    return np.concatenate(cells).view(np.int64), np.concatenate(rows), np.concatenate(visitors)
+    cells, rows = [], []
+    every = np.arange(len(x))
+    counts = _counts(x)
+    for part in range(parts):
+        v = (counts >> np.uint64(part * bits)) & mask
+        cells.append(_cell(v, part, False))
+        rows.append(every)
+        for j in range(0, bits, 2):
+            up = np.flatnonzero(((v >> np.uint64(j)) & np.uint64(3)) < 2)
+            cells.append(_cell(v[up] + (np.uint64(1) << np.uint64(j)), part, True))
+            rows.append(up)
+    return np.concatenate(cells), np.concatenate(rows)
+
+
+def band_rows(fps: np.ndarray, weak: np.ndarray, shape: Bands) -> tuple[np.ndarray, np.ndarray]:
+    """As grid_rows, for parts of one-bit segments: a row's own cell, one for each uncertain bit, and one for the two least certain together."""
+    bits = np.unpackbits(np.ascontiguousarray(fps).view(np.uint8).reshape(len(fps), -1), axis=1, bitorder="little")
+    places = np.uint64(1) << np.arange(shape.bits, dtype=np.uint64)
+    cells = []
+    for part in range(shape.parts):
+        v = bits[:, part * shape.bits : (part + 1) * shape.bits].astype(np.uint64) @ places
+        code = weak[:, part // shape.per_long] // shape.bits ** (shape.weak * (part % shape.per_long))
+        flips = [places[code // shape.bits**j % shape.bits] for j in range(shape.weak)]
+        cells.append(_cell(v, part, False))
+        cells += [_cell(v ^ f, part, True) for f in [*flips, flips[0] ^ flips[1]]]
+    return np.concatenate(cells), np.tile(np.arange(len(fps)), len(cells))
+
+
+def _cell(v: np.ndarray, part: int, visitor: bool) -> np.ndarray:
+    name = np.uint64((part + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+    return ((mix(v ^ name) & ~np.uint64(1)) | np.uint64(visitor)).view(np.int64)
 
 
 def _near(x: np.ndarray, y: np.ndarray, limit: int) -> np.ndarray:
@@ -207,112 +322,130 @@ def spanning_links(points: np.ndarray, others: np.ndarray, limit: int) -> list[t
     return out
 
 
-def _cell_links(limit: int, words: int):
-    """mapInArrow over rows (cell, sub, node, visitor, words ...), clustered by cell and sub."""
+def _cell_links(limit: int, words: int, rows: int = 1 << 17):
+    """mapInArrow over rows (cell, words ...), clustered and sorted by cell: points first, then visitors."""
+
+    def links(cell: np.ndarray, *fps: np.ndarray) -> pa.RecordBatch:
+        x = np.stack(fps, 1).view(np.uint64)
+        node, visitor, cell = names_of(x).view(np.int64), (cell & 1).astype(bool), cell >> 1
+        none = np.zeros(0, np.int64)
+        a, b = [none], [none]
+        new = np.r_[True, cell[1:] != cell[:-1]]
+        starts = np.flatnonzero(new)
+        sizes = np.diff(np.r_[starts, len(cell)])
+        group = np.cumsum(new) - 1
+        at = np.flatnonzero(np.repeat((sizes > 1) & (sizes <= 8), sizes))
+        for s in range(1, 8):  # groups of up to eight: all at once, by shifts
+            i, j = at[: max(0, len(at) - s)], at[s:]
+            same = (group[i] == group[j]) & ~visitor[i] & (node[i] != node[j])
+            i, j = i[same], j[same]
+            near = _near(x[i], x[j], limit)
+            a.append(node[i[near]])
+            b.append(node[j[near]])
+        for g in np.flatnonzero((sizes > 8) & ~visitor[starts]):
+            own = np.arange(starts[g], starts[g] + sizes[g])
+            m = int((~visitor[own]).sum())
+            found = np.array(spanning_links(x[own[:m]], x[own[m:]], limit), np.int64).reshape(-1, 2)
+            a.append(node[own[found[:, 0]]])
+            b.append(node[own[found[:, 1]]])
+        one, two = np.concatenate(a), np.concatenate(b)
+        pairs = np.unique(np.stack([np.minimum(one, two), np.maximum(one, two)], 1)[one != two], axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: list[np.ndarray] | None = None
-
-        def links(cell: np.ndarray, sub: np.ndarray, node: np.ndarray, visitor: np.ndarray, *fps: np.ndarray) -> pa.RecordBatch:
-            x = np.stack(fps, 1).view(np.uint64)
-            none = np.zeros(0, np.int64)
-            a, b = [none], [none]
-            new = np.r_[True, (cell[1:] != cell[:-1]) | (sub[1:] != sub[:-1])]
-            starts = np.flatnonzero(new)
-            sizes = np.diff(np.r_[starts, len(cell)])
-            group = np.cumsum(new) - 1
-            at = np.flatnonzero(np.repeat((sizes > 1) & (sizes <= 8), sizes))
-            for s in range(1, 8):  # groups of up to eight: all at once, by shifts
-                i, j = at[: max(0, len(at) - s)], at[s:]
-                same = (group[i] == group[j]) & ~(visitor[i] & visitor[j]) & (node[i] != node[j])
-                i, j = i[same], j[same]
-                near = _near(x[i], x[j], limit)
-                a.append(node[i[near]])
-                b.append(node[j[near]])
-            for g in np.flatnonzero(sizes > 8):
-                own = np.arange(starts[g], starts[g] + sizes[g])
-                own = np.concatenate([own[~visitor[own]], own[visitor[own]]])
-                m = int((~visitor[own]).sum())
-                if m:
-                    found = np.array(spanning_links(x[own[:m]], x[own[m:]], limit), np.int64).reshape(-1, 2)
-                    a.append(node[own[found[:, 0]]])
-                    b.append(node[own[found[:, 1]]])
-            one, two = np.concatenate(a), np.concatenate(b)
-            pairs = np.unique(np.stack([np.minimum(one, two), np.maximum(one, two)], 1)[one != two], axis=0)
-            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["a", "b"])
-
+        held: list[list[np.ndarray]] = []
+        n = 0
         for batch in batches:
-            cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-            if rest is not None:
-                cols = [np.concatenate([x, y]) for x, y in zip(rest, cols, strict=True)]
-            if not len(cols[0]):
-                continue
-            last = np.flatnonzero((cols[0] != cols[0][-1]) | (cols[1] != cols[1][-1]))
-            split = int(last[-1]) + 1 if len(last) else 0  # the last group may go on in the next batch
-            if split:
-                yield links(*(c[:split] for c in cols))
-            rest = [c[split:] for c in cols]
-        if rest is not None and len(rest[0]):
-            yield links(*rest)
+            held.append([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+            n += batch.num_rows
+            if n >= rows:
+                cols = [np.concatenate(c) for c in zip(*held, strict=True)]
+                last = np.flatnonzero(cols[0] >> 1 != cols[0][-1] >> 1)
+                split = int(last[-1]) + 1 if len(last) else 0  # the last group may go on in the next batch
+                if split:
+                    yield links(*(c[:split] for c in cols))
+                held, n = [[c[split:] for c in cols]], 0
+        if held and len((cols := [np.concatenate(c) for c in zip(*held, strict=True)])[0]):
+            yield links(*cols)
 
     return run
 
 
-def near_links(fps: DataFrame, limit: int = 3, cell_rows: int = CELL_ROWS, words: int = 1, node: str = "fp") -> DataFrame:
+def near_links(fps: DataFrame, limit: int = 3, cell_rows: int = CELL_ROWS, shape: Bands | None = None) -> DataFrame:
     """(a, b), a < b: links of nodes that connect what chains of distances <= limit connect.
 
-    fps has the words of distinct fingerprints and a long that names each.
+    fps has the words of distinct fingerprints, and with a shape their uncertain bits.
+    A node is a fingerprint's one word, or names_of its words.
     """
-    names = fp_names(words)
+    words = shape.words if shape else 1
+    names, weak_names = fp_names(words), shape.weak_names if shape else []
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(0, b.num_rows, 4096):
                 part = b.slice(i, 4096)
-                ids = part.column(0).to_numpy(zero_copy_only=False)
-                x = np.stack([part.column(1 + k).to_numpy(zero_copy_only=False) for k in range(words)], 1)
-                cell, row, visitor = grid_rows(x, limit)
-                yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(ids[row]), pa.array(visitor), *(pa.array(x[row, k]) for k in range(words))], names=["cell", "node", "visitor", *names])
+                columns = [c.to_numpy(zero_copy_only=False) for c in part.columns]
+                x = np.stack(columns[:words], 1)
+                cell, row = band_rows(x, np.stack(columns[words:], 1), shape) if shape else grid_rows(x, limit)
+                yield pa.RecordBatch.from_arrays([pa.array(cell), *(pa.array(x[row, k]) for k in range(words))], names=["cell", *names])
 
     columns = ", ".join(f"{n} long" for n in names)
-    rows = fps.select(F.col(node).alias("node"), *names).mapInArrow(emit, f"cell long, node long, visitor boolean, {columns}")
-    hot = cut(rows.groupBy("cell").count().where(F.col("count") > cell_rows).select("cell"))
-    none = F.lit(0).cast("long")
-    if hot.isEmpty():
-        dealt = rows.withColumn("sub", none)
-    else:
-        blocks = limit + 1
-        width = max(1, 64 * words // blocks)
-
-        def block(i: int) -> Column:
-            """Some bits of one word; of `blocks` such sets one is equal in any two fingerprints within the limit."""
-            at = i * width
-            bits = F.shiftrightunsigned(names[min(at // 64, words - 1)], at % 64).bitwiseAND(F.lit((1 << min(width, 64 - at % 64)) - 1))
-            return F.xxhash64(F.lit(i), bits)
+    rows = fps.select(*names, *weak_names).mapInArrow(emit, f"cell long, {columns}")
+    place = F.call_function("shiftright", "cell", F.lit(1))
+    hot = cut(rows.groupBy(place.alias("_place")).count().where(F.col("count") > cell_rows).select("_place", F.ceil(F.col("count") / cell_rows).cast("int").alias("_chunks")))
+    if not hot.isEmpty():
+        # every pair of chunks is a cell of its own; a row is in the pairs of its chunk
+        chunk, n = F.pmod(F.xxhash64(*names), F.col("_chunks")).cast("int"), F.col("_chunks")
+        pairs = F.transform(F.sequence(F.lit(0), n - 1), lambda o: F.xxhash64(place, F.least(o, chunk), F.greatest(o, chunk)))
+        marked = rows.withColumn("_place", place).join(hot, "_place", "left")
+        named = marked.withColumn("_cell", F.explode(F.when(n.isNotNull(), pairs).otherwise(F.array(F.col("cell")))))
+        even = F.col("_cell").bitwiseAND(F.lit(-2).cast("long")).bitwiseOR(F.col("cell").bitwiseAND(F.lit(1).cast("long")))
+        rows = named.select(even.alias("cell"), *names)
+    return rows.repartition(place).sortWithinPartitions("cell").mapInArrow(_cell_links(limit, words), "a long, b long").distinct()
+
+
+def _least(id_col: str, *more: str) -> Column:
+    """Orders rows by id, null ids last."""
+    return F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), *more))
+
+
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, limit: int = 3) -> DataFrame:
+    """(id, fp, component_id) for every row; component_id is the smallest id of the class."""
+    marked = cut(fingerprints(docs, id_col, text_col, width))
+    nodes = cut(marked.groupBy("fp").agg(_least(id_col).alias("_least"), F.count("*").alias("n")))
+    total, distinct = nodes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    roots = components(near_links(nodes, limit)).withColumnRenamed("node", "fp")
+    named = cut(nodes.join(roots, "fp", "left").withColumn("_root", F.coalesce("root", "fp")))
+    least = named.groupBy("_root").agg(F.min("_least").alias("_first"), F.count("*").alias("n"))
+    by_fp = hot_join(named.select("fp", "_root"), least.select("_root", "_first"), ["_root"], least, distinct).select("fp", F.col("_first.id").alias("component_id"))
+    return hot_join(marked, by_fp, ["fp"], nodes, total).select(id_col, "fp", "component_id")
 
-        marked = rows.join(hot.withColumn("hot", F.lit(True)), "cell", "left")
-        subs = F.when(F.col("hot"), F.array(*map(block, range(blocks)))).otherwise(F.array(none))
-        dealt = marked.withColumn("sub", F.explode(subs))
-    grouped = dealt.select("cell", "sub", "node", "visitor", *names).repartition("cell", "sub").sortWithinPartitions("cell", "sub")
-    return grouped.mapInArrow(_cell_links(limit, words), "a long, b long").distinct()
 
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, shape: Bands | None = None) -> DataFrame:
+    """The rows of docs, all columns: of each class of near copies the one with the smallest id.
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, limit: int = 3, words: int = 1) -> DataFrame:
-    """(id, fp, component_id) for every row; component_id is the smallest id of the class."""
-    names = fp_names(words)
-    marked = cut(fingerprints(docs, id_col, text_col, width, words))
-    of = F.col("fp") if words == 1 else F.xxhash64(*names)
-    nodes = cut(marked.groupBy(*names).agg(F.min(id_col).alias("_least")).withColumn("_node", of))
-    roots = components(near_links(nodes, limit, words=words, node="_node"))
-    named = nodes.join(roots.withColumnRenamed("node", "_node"), "_node", "left").withColumn("_root", F.coalesce("root", "_node"))
-    least = named.groupBy("_root").agg(F.min("_least").alias("component_id"))
-    by_fp = named.join(least, "_root").select(*names, "component_id")
-    return marked.join(by_fp, names).select(id_col, "fp", "component_id")
-
-
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp, component_id): classes of near copies by two-word fingerprints, NEAR_BITS apart at most."""
-    return classes(docs, id_col, text_col, width=3, limit=NEAR_BITS, words=2)
+    Rows, not ids, are decided on: two texts of one id are two documents. Of rows with
+    the same id and text one stays, whatever else differs.
+    """
+    shape = shape or Bands()
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row")
+    names = [F.xxhash64(F.lit(k), F.col(id_col), F.col(text_col)) for k in (1, 2)]
+    rows = docs.select(row, names[0].alias("_a"), names[1].alias("_b"))
+    words = fp_names(shape.words)
+    texts = docs.select(F.col(text_col).alias("_text"), F.col(id_col).alias("_id"), names[0].alias("_a"), names[1].alias("_b"))
+    marked = cut(wide_fingerprints(texts, "_text", shape))
+    weak = F.min(F.struct(*shape.weak_names)).alias("_weak")
+    grouped = marked.groupBy("node", *words).agg(_least("_id", "_a", "_b").alias("_least"), weak)
+    nodes = cut(grouped.select("node", *words, "_least", "_weak.*"))
+    roots = components(near_links(nodes, shape.limit(similarity), shape=shape))
+    classes_ = nodes.select("node", "_least").join(roots, "node", "left").groupBy(F.coalesce("root", "node")).agg(F.min("_least").alias("_least"))
+    stay = classes_.select("_least._a", "_least._b", F.lit(True).alias("stays"))
+    same = marked.groupBy("_a", "_b").agg(F.count("*").alias("n"))
+    # what is to be done is little: rows that go, and repeated rows of which one stays
+    work = cut(same.join(stay, ["_a", "_b"], "left").where("stays IS NULL OR n > 1").select("_a", "_b", "stays"))
+    plain = rows.join(work, ["_a", "_b"], "left_anti")
+    once = rows.join(work.where("stays"), ["_a", "_b"], "left_semi").dropDuplicates(["_a", "_b"])
+    return plain.unionByName(once).select("_row.*")
 
 
 def as_hex(fp: Column) -> Column:

@@ -96,7 +96,7 @@ def test_grid_finds_all_links(spark, limit, cell_rows):
 
 
 @pytest.mark.parametrize("tight", [False, True])
-@pytest.mark.parametrize("words", [1, 2])
+@pytest.mark.parametrize("words", [1, 2, 4])
 def test_spanning_links_in_a_large_group(words, tight):
     r = np.random.default_rng(5)
     bits = r.choice(64, 16, replace=False)
@@ -112,24 +112,101 @@ def test_spanning_links_in_a_large_group(words, tight):
     assert classes_of(found, nodes) == classes_of(near, nodes)
 
 
-def test_near_copies_are_found(spark):
+SHAPE = simhash.Bands()
+M64 = (1 << 64) - 1
+
+
+def scalar_mix(x):
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> shift)) * factor & M64
+    return x ^ (x >> 31)
+
+
+def brute_wide(text):
+    """The 256 bits and the balance of each, one shingle after the other."""
+    words = [xxhash.xxh3_128_intdigest(w.encode()) >> 64 for w in re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate({i: i + 32 for i in range(65, 91)}))]
+    words = [int.from_bytes(x.to_bytes(8, "big"), "little") for x in words]
+    balance = [0] * 256
+    for width in range(1, 6):
+        for i in range(len(words) - width + 1):
+            h = words[i]
+            for x in words[i + 1 : i + width]:
+                h = scalar_mix((h * 3 + x) & M64)
+            for k in range(4):
+                h = scalar_mix(h ^ k if k else h)
+                for j in range(64):
+                    balance[64 * k + j] += 1 if h >> j & 1 else -1
+    return balance
+
+
+def wide_of(spark, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "_id long, _text string")
+    return {r._id: r for r in simhash.wide_fingerprints(docs, "_text", SHAPE).collect()}
+
+
+def test_wide_fingerprints_match_brute_force(spark):
+    texts = [None, "", "one", "A b c", *corpus(n=6)[3:], "x y " * 9000]
+    for i, row in wide_of(spark, texts).items():
+        if len(texts[i] or "") < 20_000:
+            balance = brute_wide(texts[i])
+            bits = sum(1 << j for j in range(256) if balance[j] > 0)
+            assert sum((row[n] & M64) << 64 * k for k, n in enumerate(simhash.fp_names(4))) == bits
+            for part in range(SHAPE.parts):
+                code = row[SHAPE.weak_names[part // SHAPE.per_long]] // 18 ** (4 * (part % SHAPE.per_long))
+                margin = [abs(x) for x in balance[18 * part : 18 * part + 18]]
+                assert [code // 18**j % 18 for j in range(4)] == sorted(range(18), key=lambda j: (margin[j], j))[:4]
+
+
+def edited(words, rate, r):
+    return [f"new{r.randrange(10**6)}" if r.random() < rate else w for w in words]
+
+
+@pytest.mark.parametrize("cell_rows", [simhash.CELL_ROWS, 4])
+def test_near_copies_are_found(spark, monkeypatch, cell_rows):
+    """At least nine in ten of all classes that 256 bits tell, whether cells are dealt anew or not; nothing else goes."""
+    monkeypatch.setattr(simhash.near_links, "__defaults__", (3, cell_rows, None))
     r = random.Random(8)
-    rows, want = [], {}
-    for i in range(150):
-        w = [f"w{r.randrange(5000)}" for _ in range(r.randrange(150, 400))]
-        rows.append((3 * i, " ".join(w)))
-        want[3 * i] = 3 * i
-        if i % 3 == 0:
-            for c in (1, 2):  # shares about 0.9 of its 5-word shingles
-                v = list(w)
-                for k in r.sample(range(len(v)), max(1, len(v) // 100)):
-                    v[k] = "edited"
-                rows.append((3 * i + c, " ".join(v)))
-                want[3 * i + c] = 3 * i
-    docs = spark.createDataFrame(rows + [(None, ""), (900, None)], "doc_id long, text string")
-    got = {x.doc_id: x.component_id for x in simhash.near_copies(docs).collect()}
-    assert got.pop(None) == got.pop(900) == 900
-    assert all(got[i] in (i, want[i]) for i in want) and sum(got[i] == want[i] for i in want) >= len(want) - 2
+    texts = []
+    for i in range(100):
+        w = [f"w{r.randrange(5000)}" for _ in range(r.randrange(60, 400))]
+        texts += [" ".join(w), *(" ".join(edited(w, 0.04, r)) for _ in range(2 if i % 3 == 0 else 0))]
+    texts += [" ".join(edited([f"g{k}" for k in range(200)], 0.03, r)) for _ in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = {x.doc_id for x in simhash.one_of_each(docs).select("doc_id").collect()}
+    fps = {i: [x[n] & M64 for n in simhash.fp_names(4)] for i, x in wide_of(spark, texts).items()}
+    near = [(a, b) for a in fps for b in fps if a < b and sum((x ^ y).bit_count() for x, y in zip(fps[a], fps[b], strict=True)) <= SHAPE.limit(0.8)]
+    of = classes_of(near, list(fps))
+    go = {i for i in of if of[i] != i}
+    assert len(go) > 100 and not go & {i for i in of if of[i] == i} and set(of.values()) <= kept
+    assert len(go - kept) >= 0.95 * len(go)
+
+
+def test_rows_are_decided_not_ids(spark):
+    r = random.Random(3)
+    a, b, t = (" ".join(f"{c}{r.randrange(900)}" for _ in range(120)) for c in "abt")
+    rows = [(3, b, "x"), (5, a, "x"), (5, b, "x"), (7, t, "x"), (7, t, "y"), (7, t, "x"), (8, None, "x"), (9, "", "x"), (None, a, "x"), (None, "only null ids here", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _a string").withColumnRenamed("_a", "node")
+    got = sorted(((x.doc_id, x.text) for x in simhash.one_of_each(docs).collect()), key=str)
+    assert got == sorted([(3, b), (5, a), (7, t), (8, None), (None, "only null ids here")], key=str)
+    assert simhash.one_of_each(docs.limit(0)).count() == 0
+    strings = docs.withColumn("doc_id", F.col("doc_id").cast("string"))
+    assert simhash.one_of_each(strings).count() == 5
+
+
+def test_hot_join(spark):
+    many = spark.createDataFrame([(i % 7 if i % 2 else 1, i) for i in range(1000)], "k long, v long")
+    one = spark.createDataFrame([(k, 10 * k) for k in range(6)], "k long, w long")
+    counts = many.groupBy("k").agg(F.count("*").alias("n"))
+    want = sorted(map(tuple, many.join(one, ["k"]).collect()))
+    for hot_rows in (10**6, 100, 0):
+        assert sorted(map(tuple, components.hot_join(many, one, ["k"], counts, 1000, hot_rows).collect())) == want
+
+
+def test_components_with_hot_centres(spark, monkeypatch):
+    monkeypatch.setattr(components, "HOT_ROWS", 5)
+    edges = [(0, i) for i in range(1, 60)] + [(100 + i, 200 + i % 3) for i in range(40)]
+    got = dict(map(tuple, components.components(spark.createDataFrame(edges, "a long, b long")).collect()))
+    assert got == classes_of(edges, list(range(60)) + list(range(100, 140)) + [200, 201, 202])
 
 
 def test_components(spark):

@@ -81,8 +81,12 @@ def test_lines(stages):
 
 
 def test_near_duplicates(stages):
+    """Rows that stay, against all pairs of the 256-bit fingerprints."""
     before = rows(stages[2])
-    fps = [simhash.fingerprint(r[1], 3, 2) for r in before]
+    shape = simhash.Bands()
+    wide = simhash.wide_fingerprints(stages[2].select("doc_id", "text", F.col("text").alias("_text")), "_text", shape).collect()
+    fp = {(r.doc_id, r.text): np.array([r[n] for n in simhash.fp_names(4)]).view(np.uint64) for r in wide}
+    fps = [fp[r[0], r[1]] for r in before]
     root = list(range(len(before)))
 
     def find(x):
@@ -92,15 +96,16 @@ def test_near_duplicates(stages):
 
     for a in range(len(before)):
         for b in range(a):
-            if np.bitwise_count(fps[a] ^ fps[b]).sum() <= simhash.NEAR_BITS:
+            if np.bitwise_count(fps[a] ^ fps[b]).sum() <= shape.limit(0.8):
                 root[find(a)] = find(b)
     least = {}
     for k, r in enumerate(before):
-        if r[0] is not None:
-            least[find(k)] = min(least.get(find(k), 1 << 60), r[0])
-    want = [r for k, r in enumerate(before) if r[0] is None or least[find(k)] == r[0]]
-    assert rows(stages[3]) == want
-    assert len(want) < len(before)
+        key = (r[0] is None, r[0])
+        least[find(k)] = min(least.get(find(k), key), key)
+    want = {r for k, r in enumerate(before) if least[find(k)] == (r[0] is None, r[0])}
+    got = set(rows(stages[3]))
+    assert want <= got < set(before)
+    assert len(got) - len(want) <= 0.1 * (len(before) - len(want))
 
 
 def test_leaks(spark, stages):
