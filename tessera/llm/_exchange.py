@@ -8,6 +8,12 @@ passage that a third of all documents share nor a large group of copies makes a
 large group: an entry for each bucket is the most. The bucketed documents are one
 exchange that all rounds of a plan reuse, and a lost executor costs only the
 recomputation of its buckets, which give the same lists again.
+
+A bucket is worked on in units of some MB: documents, or pieces of one very long
+text that overlap by a window, so arrays beside the text have a bound. Every bucket
+sends a row to every shard; up to LINEAR_BYTES of text that is little, and beyond it
+buckets and shards both grow with the square root of the text, so the rows of a round
+grow as the text does (one for each BUCKET_BYTES * SHARD_BYTES / LINEAR_BYTES of it).
 """
 
 from __future__ import annotations
@@ -21,9 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Bytes of text in a bucket and, for each shard, in all.
+#: Bytes of text in a bucket and, for each shard, in all, up to LINEAR_BYTES of text.
 BUCKET_BYTES = 4 << 20
 SHARD_BYTES = 12 << 20
+LINEAR_BYTES = 32 << 30
+#: Bytes of text that a bucket works on at once.
+UNIT_BYTES = 8 << 20
 
 ANSWER = "bucket int, shard int, bits binary"
 
@@ -83,11 +92,18 @@ def rolling(sums: np.ndarray, k: int, base: int = _BASE) -> np.ndarray:
     return mix(out)
 
 
+def dealt(total: int, shard_share: int = 1) -> tuple[int, int]:
+    """How many buckets and shards so many bytes of text have."""
+    growth = max(1.0, math.sqrt(total / LINEAR_BYTES))
+    buckets, shards = (max(1, math.ceil(total / (growth * x))) for x in (BUCKET_BYTES, SHARD_BYTES / shard_share))
+    return buckets, shards
+
+
 def bucketed(docs: DataFrame, id_col: str, text_col: str, shard_share: int = 1) -> tuple[DataFrame, int]:
     """(id long, text string, bucket int) and the number of shards, shard_share times the usual; all from the size of the texts."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    buckets, shards = (max(1, math.ceil(total / x)) for x in (BUCKET_BYTES, SHARD_BYTES / shard_share))
+    buckets, shards = dealt(total, shard_share)
     bucket = F.pmod(F.xxhash64(F.col(id_col), F.octet_length(text)), F.lit(buckets)).cast("int")
     return docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), bucket.alias("bucket")), shards
 
@@ -142,17 +158,52 @@ def by_shard(keys: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
 def pieces(shard: np.ndarray, order: np.ndarray) -> list[tuple[int, np.ndarray]]:
     """(shard, places) for each shard that has any."""
     s = shard[order]
-    starts = np.flatnonzero(np.r_[True, s[1:] != s[:-1]]) if len(s) else np.zeros(0, np.int64)
+    if not len(s):
+        return []
+    starts = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
     return [(int(s[a]), order[a:b]) for a, b in zip(starts, np.r_[starts[1:], len(s)], strict=True)]
 
 
-def answered(n: int, cut: list[tuple[int, np.ndarray]], reply: pa.Table) -> np.ndarray:
-    """The answers' bits, in the order of the bucket's own list."""
+def answered(n: int, cut: list[tuple[int, np.ndarray]], reply: pa.Table, taken: dict[int, int]) -> np.ndarray:
+    """The answers' bits, in the order of a unit's own list; taken: bits of each shard that earlier units had."""
     out = np.zeros(n, bool)
     got = dict(zip(reply.column("shard").to_pylist(), reply.column("bits").to_pylist(), strict=True))
     for shard, places in cut:
+        begin = taken.get(shard, 0)
+        taken[shard] = begin + len(places)
         if (bits := got.get(shard)) is not None:
-            out[places] = np.unpackbits(np.frombuffer(bits, np.uint8), count=len(places)).astype(bool)
+            out[places] = bits_of(bits, begin, len(places))
+    return out
+
+
+def bits_of(bits: bytes, begin: int, n: int) -> np.ndarray:
+    some = np.frombuffer(bits, np.uint8)[begin // 8 : -(-(begin + n) // 8)]
+    return np.unpackbits(some, count=begin % 8 + n)[begin % 8 :].astype(bool)
+
+
+def combined(tables: list[pa.Table]) -> pa.Table:
+    """What the units of a bucket send, as one row for each shard."""
+    if len(tables) == 1:
+        return tables[0]
+    blobs = [c for c in tables[0].column_names if c not in ("shard", "bucket")]
+    rows: dict[int, list[list[bytes]]] = {}
+    for t in tables:
+        columns = [t.column(c).to_pylist() for c in blobs]
+        for k, shard in enumerate(t.column("shard").to_pylist()):
+            for to, column in zip(rows.setdefault(shard, [[] for _ in blobs]), columns, strict=True):
+                to.append(column[k])
+    bucket = next((t.column("bucket")[0].as_py() for t in tables if t.num_rows), 0)
+    made = {"shard": pa.array(rows, pa.int32()), "bucket": pa.array([bucket] * len(rows), pa.int32())}
+    return pa.table(made | {c: pa.array([b"".join(r[k]) for r in rows.values()], pa.binary()) for k, c in enumerate(blobs)})
+
+
+def whole_units(offsets: np.ndarray) -> list[tuple[int, int]]:
+    """Runs of documents of UNIT_BYTES at most, or of one document."""
+    out, d = [], 0
+    while d < len(offsets) - 1:
+        e = max(d + 1, int(np.searchsorted(offsets, offsets[d] + UNIT_BYTES, side="right")) - 1)
+        out.append((d, e))
+        d = e
     return out
 
 

@@ -6,6 +6,7 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -246,6 +247,73 @@ def test_substrings_match_brute_force(spark, window):
     assert substring_dedup.remove_repeats(docs.limit(0)).count() == 0
 
 
+def long_rows():
+    """A text of many units that repeats in others, across the places where it is cut."""
+    r = random.Random(9)
+    book = [f"w{r.randrange(10**5)}" for _ in range(6000)]
+    odd = ["x" * 3000, *book[100:180], "\u00e9" * 900, *book[2000:2100]]
+    return [(5, "  ".join(book)), (2, " ".join(book[700:900] + book[3000:3070])), (9, "\n".join(book[2500:4500])), (9, " ".join(odd)), (7, " ".join(book[5900:])), (1, None)]
+
+
+@pytest.mark.parametrize("unit", [700, 3001, 1 << 30])
+def test_very_long_texts_in_pieces(spark, monkeypatch, unit):
+    monkeypatch.setattr(_exchange, "UNIT_BYTES", unit)
+    monkeypatch.setattr(_exchange, "BUCKET_BYTES", 20_000)
+    rows = long_rows()
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = substring_dedup.remove_repeats(docs).select("doc_id", "n_words", F.expr("aggregate(spans, 0L, (a, x) -> a + x.end - x.start)"), F.sha2("kept", 256)).collect()
+    assert sorted(map(tuple, got), key=str) == brute_words(rows, 50)
+    got = suffix_dedup.remove_repeats(docs).select("doc_id", "n_bytes", F.expr("aggregate(spans, 0L, (a, x) -> a + x.end - x.start)"), F.size("spans"), F.sha2("kept", 256)).collect()
+    assert sorted(map(tuple, got), key=str) == brute_bytes(rows, 200)
+
+
+def test_short_texts_only(spark):
+    rows = [(i, t) for i, t in enumerate(["a b c", "a b c", "", None])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {(r.doc_id, r.n_words, r.kept) for r in substring_dedup.remove_repeats(docs).collect()} == {(0, 3, "a b c"), (1, 3, "a b c"), (2, 0, ""), (3, 0, "")}
+    assert {(r.doc_id, r.n_bytes, len(r.spans)) for r in suffix_dedup.remove_repeats(docs).collect()} == {(0, 5, 0), (1, 5, 0), (2, 0, 0), (3, 0, 0)}
+
+
+def self_similar(n):
+    """A word and its complement whose polynomials modulo 2 ** 64 are equal, whatever the base, if long enough."""
+    word = "a"
+    while len(word) < n:
+        word += word.translate({97: "b", 98: "a"})
+    return word, word.translate({97: "b", 98: "a"})
+
+
+def test_self_similar_words_are_no_repeats(spark):
+    x, y = self_similar(2048)
+    w = [f"w{i}" for i in range(49)]
+    rows = [(1, " ".join([*w, x])), (2, " ".join([*w, y])), (3, " ".join([*w, x, "more"]))]
+    got = substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: sum(s.end - s.start for s in r.spans) for r in got} == {1: 0, 2: 0, 3: 50}
+    rows = [(i, f"{a}{b}") for i, (a, b) in enumerate([(x, y), (y, x), ("q" * 70, x)])]
+    got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "n_bytes", F.expr("aggregate(spans, 0L, (a, x) -> a + x.end - x.start)"), F.size("spans"), F.sha2("kept", 256)).collect()
+    assert sorted(map(tuple, got), key=str) == brute_bytes(rows, 200)
+
+
+def test_equal_hashes_are_told_apart(monkeypatch):
+    """With a hash that never tells anything, runs (of one window each then) are compared as bytes."""
+    monkeypatch.setattr(suffix_dedup, "mix", lambda x: x * np.uint64(0))
+    monkeypatch.setattr(suffix_dedup, "hashes", lambda raw, k: np.zeros(max(0, len(raw) - k + 1), np.uint64))
+    raw = np.frombuffer(b"abcdefghij" * 3 + b"klmnopqrstu" * 3, np.uint8)
+    unit = suffix_dedup.Unit(raw, np.array([0, 10, 20, 30, 41, 52, 63]), 0, 8, 4, 1)
+    unit.many[:] = True
+    first, group, size = (unit.runs(pa.table({"shard": pa.array([], pa.int32()), "bits": pa.array([], pa.binary())}), {}) and unit).equal_runs()
+    got = [raw[unit.run_low[i] : unit.run_high[i] + 8].tobytes() for i in first]
+    want = [t[i : i + 8] for t in (b"abcdefghij", b"klmnopqrstu") for i in range(len(t) - 7)]
+    assert sorted(got) == want and size.tolist() == [3] * 7 and len(group) == 21
+
+
+def test_rows_of_a_round_grow_as_the_text():
+    rate = []
+    for total in (1 << 35, 1 << 37, 1 << 40, 100 << 40):
+        buckets, shards = _exchange.dealt(total)
+        rate.append(buckets * shards / total)
+    assert max(rate) < 1.1 * min(rate) + 1e-9
+
+
 def brute_bytes(rows, window):
     raw = [(d, (t or "").encode()) for d, t, *_ in rows]
     n = defaultdict(int)
