@@ -88,12 +88,12 @@ def test_leaks_are_found_and_clean_documents_left(spark):
     docs = spark.createDataFrame([(*x, "c") for x in rows], "doc_id long, text string, score string")
     b = bench(spark, [(i, " ".join(t)) for i, t in enumerate(items)] + [(98, None), (99, "")])
     for block in (2000, 7):
-        got = decontaminate.leaks(docs, b, block_items=block).collect()
+        got = decontaminate.leaks(docs, b, block_words=block).collect()
         pairs = {(x.doc_id, x.item_id) for x in got}
         assert pairs == {*want.items(), *((2000 + k, 0) for k in range(50))}
         whole = next(x for x in got if x.doc_id == 0)
         assert whole.score == 1 and whole.end - whole.start == len(items[0])
-    left = decontaminate.without_leaks(docs, b, block_items=7)
+    left = decontaminate.without_leaks(docs, b, block_words=150)
     assert left.columns == docs.columns
     assert sorted(x.doc_id or -1 for x in left.collect()) == sorted(i or -1 for i, _ in rows if i is None or (i not in want and i < 2000))
     assert decontaminate.leaks(docs, b.limit(0)).count() == decontaminate.leaks(docs.limit(0), b).count() == 0

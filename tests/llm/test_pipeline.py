@@ -109,13 +109,13 @@ def test_near_duplicates(stages):
 
 
 def test_leaks(spark, stages):
-    items = decontaminate.Items.of([tuple(r) for r in spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text").collect()], 4)
+    items = decontaminate.tokens_of([r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()])
     want = []
     for r in rows(stages[3]):
         raw = np.frombuffer(r[1].encode(), np.uint8)
         values, _ = decontaminate.tokens(raw, np.array([0, len(raw)]))
-        best, _, _ = decontaminate.align(items.words, [values] * len(items.words))
-        if max(s / (2 * len(w)) for s, w in zip(best.tolist(), items.words, strict=True)) < decontaminate.MIN_SCORE:
+        best, _, _ = decontaminate.align(items, [values] * len(items))
+        if max(s / (2 * len(w)) for s, w in zip(best.tolist(), items, strict=True)) < decontaminate.MIN_SCORE:
             want.append(r)
     assert rows(stages[4]) == want
     assert 5003 in {r[0] for r in rows(stages[3])} - {r[0] for r in want}

@@ -12,10 +12,10 @@ from tessera.llm import decontaminate, pii, queries
 # --- decontamination
 
 
-def found(docs, items, min_score=0.5):
+def found(docs, items, min_score=0.5, rarity=None):
     values, begin = split(docs)
-    own = decontaminate.Items.of(list(enumerate(items)), decontaminate.SEED_WORDS)
-    return {(d, i): score for d, i, score, _, _ in decontaminate.found_in(own, values, begin, min_score)}
+    own = decontaminate.Items.of(list(range(len(items))), decontaminate.tokens_of(items), min_score, rarity)
+    return {(d, i): score for d, i, score, _, _ in decontaminate.found_in(own, values, begin)}
 
 
 def split(docs):
@@ -65,11 +65,44 @@ def test_found_as_by_aligning_all(monkeypatch, chunk, min_score):
         part = [y for x in r.choice(items) for y in r.choice([[x], [x], [x, "new"], ["other"], []])]
         at = r.randrange(len(w) + 1)
         docs.append(" ".join(w[:at] + part + w[at:]))
-    want = unseeded(docs, list(map(" ".join, items)), min_score)
-    assert found(docs, list(map(" ".join, items)), min_score) == want
+    texts = list(map(" ".join, items))
+    want = unseeded(docs, texts, min_score)
+    assert found(docs, texts, min_score) == want
+    known = np.unique(np.concatenate(decontaminate.tokens_of(texts)))
+    for counts in (np.arange(len(known)), -np.arange(len(known)), np.zeros(len(known), np.int64)):  # rare or not, the result is the same
+        assert found(docs, texts, min_score, (known, counts)) == want
     assert want
 
 
+def test_one_count_and_one_pass_for_ten_thousand_items(spark, monkeypatch):
+    r = random.Random(6)
+    items = [" ".join(f"w{r.randrange(30000)}" for _ in range(r.randrange(15, 60))) for _ in range(10_000)]
+    benchmark = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    docs = spark.createDataFrame([(k, f"before {items[97 * k]} after", "x") for k in range(100)] + [(100, "w1 w2 w3 " * 50, "x")], "doc_id long, text string, score string")
+    counted, count = [], decontaminate.word_counts
+    monkeypatch.setattr(decontaminate, "word_counts", lambda *a: counted.append(1) or count(*a))
+    out = decontaminate.leaks(docs, benchmark)
+    assert out._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1 and counted == [1]
+    assert {(x.doc_id, x.item_id) for x in out.collect() if x.score == 1} == {(k, 97 * k) for k in range(100)}
+    left = decontaminate.without_leaks(docs, benchmark)
+    assert left._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1 and [x.doc_id for x in left.collect()] == [100]
+
+
+def test_a_very_long_item_and_a_very_long_text():
+    r = random.Random(4)
+    item = [f"w{r.randrange(50000)}" for _ in range(6000)]
+    doc = [f"v{r.randrange(50000)}" for _ in range(30_000)]
+    doc[7000:7000] = [w for w in item if r.random() > 0.1]
+    got = found([" ".join(doc), "v1 v2"], [" ".join(item), "w1 w2 w3 w4 w5 w6"])
+    assert set(got) == {(0, 0)} and got[0, 0] > 0.8
+
+
+def test_ids_of_other_types(spark):
+    docs = spark.createDataFrame([("a", "one two three four five"), (None, "one two three four six")], "doc_id string, text string")
+    benchmark = spark.createDataFrame([(None, "one two three four")], "item_id int, text string")
+    assert sorted(map(str, decontaminate.leaks(docs, benchmark).select("doc_id", "item_id").collect())) == ["Row(doc_id='a', item_id=None)", "Row(doc_id=None, item_id=None)"]
+
+
 # --- pipeline
 
 
