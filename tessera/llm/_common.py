@@ -32,15 +32,20 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (spark.checkpoint.dir).
 
-    Where it is unset, as in tests, a temporary folder takes its place.
+    Where it is unset a session on one machine, as in tests, gets a temporary folder;
+    a cluster has to name one.
     """
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    current = sc._jsc.sc().getCheckpointDir()
+    if not found and current.isDefined():
+        found = current.get()
     if not found:
-        current = sc._jsc.sc().getCheckpointDir()
-        found = current.get() if current.isDefined() else tempfile.mkdtemp(prefix="tessera-")
-        if not current.isDefined():
-            sc.setCheckpointDir(found)
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        found = tempfile.mkdtemp(prefix="tessera-")
+    if not current.isDefined():
+        sc.setCheckpointDir(found)
     return found.rstrip("/")
 
 
@@ -54,6 +59,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def kept(df: DataFrame, kind: str) -> DataFrame:
+    """df written once to the shared folder, and read again."""
+    path = fresh_dir(df.sparkSession, kind)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def text_of(docs: DataFrame, text: str = "text") -> Column:
     return F.coalesce(docs[text], F.lit(""))
 

@@ -1,19 +1,22 @@
 """Exact line deduplication by sorted hash ranges, native DataFrame code only.
 
-Lines become rows (hash, bucket, document, position). They are range-partitioned
-by (hash, bucket) and sorted within by document and position, so one pass over
-the sorted rows streams the first occurrence of a line in a bucket and counts
-its documents. The bucket comes from the document, so a line that a third of
-all rows share is dealt over many ranges; only one row per bucket goes on to
-the sum by line. The result is no text but a run-length coded keep bitmap for
-each document: lengths of alternating runs of kept and dropped lines, beginning
-with a kept run that may be empty.
-
-Defined cases: a null or empty text is one empty line; lines whose key is
-shorter than min_chars always stay; a repeated row (same id and text) has the
-same bitmap and counts as one document; rows with one id but other texts are
-documents of their own; a null id is an id like any other; an empty table gives
-an empty result. Columns other than id and text are not looked at.
+Lines become rows (hash, check, bucket, document, position), once, in a table in the
+shared folder. They are range-partitioned by hash and bucket and sorted within by
+document and position, so one pass over the sorted rows streams the first occurrence
+of a line in a bucket and counts its documents. Hash and check are XXH64 and Murmur3
+of the line's key, 96 bits of two unrelated functions together. The bucket comes from
+the document, so a line that a third of all rows share is dealt over many ranges;
+only one row per bucket goes on to the sum by line. The result is no text but a
+run-length coded keep bitmap for each document: lengths of alternating runs of kept
+and dropped lines, beginning with a kept run that may be empty.
+
+Defined cases: a null or empty text is one empty line; lines whose key is shorter
+than min_chars always stay; a document is an id: rows with one id count once for a
+line, whether their texts are equal or not, and each row has the bitmap of its own
+text; a null id is one document like any other; the first of ties is the smallest id
+(null first), then the text's hash, then the position; a very long text is as many
+rows as it has lines; an empty table gives an empty result; other columns are carried
+along, but for those named like a result.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import WS_CHARS, ascii_lower, let
+from ._common import WS_CHARS, ascii_lower, kept, let
 
 #: Ranges that one very common line can be dealt over.
 BUCKETS = 1024
@@ -31,18 +34,19 @@ def _lines(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
+#: What names a line.
+KEY = ("_hash", "_check")
+
+
 def line_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 1, buckets: int = BUCKETS) -> DataFrame:
-    """A row (hash, bucket, id, version, pos) for each line that can be dropped."""
+    """A row (hash, check, bucket, id, version, pos) for each line that can be dropped."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     keys = F.transform(
         _lines(ascii_lower(text)),
-        lambda x: let(F.btrim(x, F.lit(WS_CHARS)), lambda k: F.when(F.char_length(k) >= min_chars, F.xxhash64(k))),
-    )
-    return (
-        docs.select(F.col(id_col).alias("_id"), F.xxhash64(text).alias("_version"), F.posexplode(keys).alias("_pos", "_hash"))
-        .where(F.col("_hash").isNotNull())
-        .withColumn("_bucket", F.pmod(F.xxhash64("_id", "_version"), F.lit(buckets)).cast("int"))
+        lambda x: let(F.btrim(x, F.lit(WS_CHARS)), lambda k: F.when(F.char_length(k) >= min_chars, F.struct(F.xxhash64(k).alias("_hash"), F.hash(k).alias("_check")))),
     )
+    rows = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text).alias("_version"), F.posexplode(keys).alias("_pos", "_key")).where(F.col("_key").isNotNull())
+    return rows.select("_key.*", F.pmod(F.xxhash64("_id"), F.lit(buckets)).cast("int").alias("_bucket"), "_id", "_version", "_pos")
 
 
 def _runs(dropped: Column, n: Column) -> Column:
@@ -68,22 +72,22 @@ def line_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Lines found in at least min_docs documents are dropped; with keep_first their
     first occurrence (smallest id, then position) stays.
     """
-    rows = line_rows(docs, id_col, text_col, min_chars, buckets)
-    ranged = rows.repartitionByRange("_hash", "_bucket").sortWithinPartitions("_hash", "_bucket", "_id", "_version", "_pos")
-    group = Window.partitionBy("_hash", "_bucket").orderBy("_id", "_version", "_pos")
-    me, before = F.struct("_id", "_version"), F.lag(F.struct("_id", "_version")).over(group)
-    streamed = ranged.withColumn("_new", (before.isNull() | ~before.eqNullSafe(me)).cast("long"))
-    first = F.min(F.struct("_id", "_version", "_pos"))
-    in_bucket = streamed.groupBy("_hash", "_bucket").agg(F.sum("_new").alias("_docs"), first.alias("_first"))
+    rows = kept(line_rows(docs, id_col, text_col, min_chars, buckets), "lines")
+    place = [*KEY, "_bucket"]
+    ranged = rows.repartitionByRange(*place).sortWithinPartitions(*place, "_id", "_version", "_pos")
+    group = Window.partitionBy(*place).orderBy("_id", "_version", "_pos")
+    new = (F.row_number().over(group) == 1) | ~F.lag("_id").over(group).eqNullSafe(F.col("_id"))
+    streamed = ranged.withColumn("_new", new.cast("long"))
+    in_bucket = streamed.groupBy(*place).agg(F.sum("_new").alias("_docs"), F.min(F.struct("_id", "_version", "_pos")).alias("_first"))
     # a row for each bucket of a line: at most `buckets` of them meet here
-    line = Window.partitionBy("_hash")
-    summed = in_bucket.select("_hash", "_bucket", F.sum("_docs").over(line).alias("_docs"), F.min("_first").over(line).alias("_first"))
+    line = Window.partitionBy(*KEY)
+    summed = in_bucket.select(*place, F.sum("_docs").over(line).alias("_docs"), F.min("_first").over(line).alias("_first"))
     frequent = summed.where(F.col("_docs") >= min_docs).drop("_docs")
-    keys = ["_hash", "_bucket"]  # so a common line's rows come back by bucket too
+    # a common line's rows come back by bucket too
     if keep_first:
-        hit = rows.join(frequent, keys).where(~F.struct("_id", "_version", "_pos").eqNullSafe(F.col("_first")))
+        hit = rows.join(frequent, place).where(~F.struct("_id", "_version", "_pos").eqNullSafe(F.col("_first")))
     else:
-        hit = rows.join(frequent.select(*keys), keys, "left_semi")
+        hit = rows.join(frequent.select(*place), place, "left_semi")
     return hit.groupBy("_id", "_version").agg(F.sort_array(F.collect_set("_pos")).alias("dropped")).withColumnRenamed("_id", id_col)
 
 

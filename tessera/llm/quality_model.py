@@ -14,7 +14,8 @@ labels are collected. Scoring has no shuffle and looks at every row.
 
 Defined cases: null and empty texts have all statistics zero and get a score as
 any other; labels other than 0 and 1, null labels and unknown ids teach nothing;
-of several labels of one id the smaller counts; without labels of both kinds the
+of several labels of one id the smaller counts, and of several texts the one with
+the smallest hash is learned from; without labels of both kinds the
 score is the share of label 1, or 0.5 with none; a null id is not held out and
 never labelled; repeated rows get equal scores; other columns are not read.
 """
@@ -30,6 +31,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .quality_rules import sampled
+
 #: At most so many labelled documents are fitted on.
 SAMPLE_ROWS = 15_000
 
@@ -162,9 +165,9 @@ def learn_from(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     usable = labels.where(F.col(label_col).isin(0, 1) & ~held_out(F.col(id_col)) & F.col(id_col).isNotNull())
     known = usable.groupBy(F.col(id_col).alias("_id")).agg(F.min(label_col).cast("int").alias("label"))
     some = known.orderBy(F.xxhash64("_id"), "_id").limit(sample_rows)
-    texts = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("_text")).join(F.broadcast(some), F.col("_doc") == F.col("_id"))
-    rows = measured(texts.select("_doc", "_text", "label"), "_doc", "_text").limit(2 * sample_rows).collect()
-    rows.sort(key=lambda r: (str(r["_doc"]), list(r["x"])))
+    texts = sampled(docs, some.withColumnRenamed("label", "_label"), id_col, text_col).withColumnRenamed("_label", "label")
+    rows = measured(texts, "_id", "_text").collect()
+    rows.sort(key=lambda r: str(r["_id"]))
     x = np.array([r["x"] for r in rows], float).reshape(len(rows), len(STATISTICS))
     return fit(x, np.array([r["label"] for r in rows], float), **options)
 

@@ -9,9 +9,13 @@ conditional expression (CASE WHEN ... THEN false ... ELSE true).
 
 Defined cases: null and empty texts have zero words and fail the base rules;
 texts of fewer than three words repeat none; labels that are null, unknown ids
-and labels other than 0 and 1 teach nothing; with no usable labels the list is
-empty and only the base rules reject; repeated rows are judged alike, each on
-its own.
+and labels other than 0 and 1 teach nothing; of several labels of one id the
+smaller counts, and of several texts the one with the smallest hash teaches; with
+no usable labels the list is empty and only the base rules reject; repeated rows
+are judged alike, each on its own; a value equal to a threshold is not above it; a
+very long text is one array of words and one of hashes in memory; an empty table
+gives an empty result and teaches nothing; other columns, also ones named like a
+result, are not read.
 """
 
 from __future__ import annotations
@@ -39,23 +43,19 @@ def _sum(values: Column) -> Column:
 def _repeated(words: Column) -> Column:
     """Words in 3-word windows that are found twice or more.
 
-    Windows are 64-bit hashes. Each is packed with its place in one long, so that
-    a primitive sort brings equal windows together.
+    Windows are 64-bit hashes. Sorted with their places, equal ones are neighbours.
     """
 
     def covered(h: Column) -> Column:
-        n = F.size(h)
-        bits = F.ceil(F.log2(n.cast("double") + 1)).cast("int")
-        mask = F.call_function("shiftleft", F.lit(1).cast("long"), bits) - 1
-        packed = F.sort_array(F.transform(h, lambda x, i: F.call_function("shiftleft", x, bits).bitwiseOR(i.cast("long"))))
+        placed = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
 
         def places(s: Column) -> Column:
-            full = lambda j: F.get(h, F.get(s, j).bitwiseAND(mask).cast("int"))
-            twice = lambda j: ((j > 0) & (full(F.greatest(j - 1, F.lit(0))) == full(j))) | F.coalesce(full(j + 1) == full(j), F.lit(False))
-            return F.sort_array(F.filter(F.transform(s, lambda x, j: F.when(twice(j), x.bitwiseAND(mask)).otherwise(F.lit(-1).cast("long"))), lambda x: x >= 0))
+            at = lambda j: F.get(s, j)["h"]
+            twice = lambda x, j: ((j > 0) & (at(F.greatest(j - 1, F.lit(0))) == x["h"])) | F.coalesce(at(j + 1) == x["h"], F.lit(False))
+            return F.sort_array(F.transform(F.filter(s, twice), lambda x: x["i"]))
 
-        fresh = lambda p: _sum(F.transform(p, lambda x, j: F.least(F.lit(3), F.coalesce(F.get(p, j + 1) - x, F.lit(3))).cast("int")))
-        return F.when(F.size(F.array_distinct(h)) == n, F.lit(0)).otherwise(let(let(packed, places), fresh))
+        fresh = lambda p: _sum(F.transform(p, lambda x, j: F.least(F.lit(3), F.coalesce(F.get(p, j + 1) - x, F.lit(3)))))
+        return F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(let(let(placed, places), fresh))
 
     hashes = F.transform(F.sequence(F.lit(0), F.size(words) - 3), lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)))
     return F.when(F.size(words) < 3, F.lit(0)).otherwise(let(hashes, covered))
@@ -200,6 +200,12 @@ def learn(rows: list[dict], max_rules: int = 12, max_conditions: int = 4, cuts:
     return found
 
 
+def sampled(docs: DataFrame, some: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(_id, _label, _text): the texts of a bounded table (_id, _label), one row for each id."""
+    texts = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("_text")).join(F.broadcast(some), F.col("_doc") == F.col("_id"))
+    return texts.groupBy("_id", "_label").agg(F.min(F.struct(F.xxhash64("_text"), F.col("_text").alias("_text"))).alias("_least")).select("_id", "_label", "_least._text")
+
+
 def learn_from(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", **options) -> DecisionList:
     """Learn from at most sample_rows labelled documents, the same ones each time.
 
@@ -208,10 +214,9 @@ def learn_from(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROW
     """
     known = labels.where(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("_id")).agg(F.min(label_col).alias("_label"))
     some = known.orderBy(F.xxhash64("_id"), "_id").limit(sample_rows)
-    # n.b. ids that the labels name twice have the smaller label
-    stats = docs.join(F.broadcast(some), docs[id_col] == some["_id"]).select(F.col("_id"), F.col("_label"), statistics(docs[text_col]).alias("_s"))
-    table = stats.select("_id", (F.col("_label") == 0).alias("bad"), *(c.alias(k) for k, c in features(F.col("_s")).items()))
-    rows = [r.asDict() for r in table.limit(4 * sample_rows).collect()]
+    rows = sampled(docs, some, id_col, text_col).select("_id", "_label", statistics(F.col("_text")).alias("_s"))
+    table = rows.select("_id", (F.col("_label") == 0).alias("bad"), *(c.alias(k) for k, c in features(F.col("_s")).items()))
+    rows = [r.asDict() for r in table.collect()]
     return learn(sorted(rows, key=lambda r: (str(r["_id"]), str(r))), **options)
 
 

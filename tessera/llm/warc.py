@@ -7,9 +7,11 @@ frame and place in the frame, so one record is read by two small reads and the
 decompression of one frame; tools that know only plain Zstandard read the whole.
 
 Of pages with equal payloads, the one with the smallest id is a response record,
-the others revisit it and carry no payload. Digests meet in a partial aggregation
-first, and only ids and digests are joined, so a payload that a third of all pages
-share moves no text. Bundles are written under a name of their own for each
+the others revisit it and carry no payload. Payloads count as equal by their SHA-256
+(records show SHA-1, as the format has it, for which collisions are known). Digests
+meet in a partial aggregation first, and only ids and digests are joined, by hot_join
+where one payload has most pages, so a payload that a third of all pages share moves
+no text. Bundles are written under a name of their own for each
 attempt and moved into place when whole, in the folder that driver and executors
 share; the index names only those of tasks that succeeded, so a lost executor
 leaves at most an unused file.
@@ -17,7 +19,8 @@ leaves at most an unused file.
 Defined cases: a null html is an empty payload; payloads under min_revisit_bytes
 are all responses; rows that repeat the response's id and payload are responses
 too; null ids are carried and never referred to unless all equal pages lack one; a
-null url has no target header, control characters in a url are percent-coded; an
+null url has no target header, control characters in a url are percent-coded; page
+ids are whole numbers (others are cast); a very long page is a frame of its own; an
 empty table gives no bundles; other columns are not read.
 """
 
@@ -34,6 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import cut, fresh_dir
+from .components import hot_join
 
 FRAME_BYTES = 256 << 10
 BUNDLE_BYTES = 16 << 20
@@ -152,11 +156,14 @@ def seek_table(f, size: int) -> list[tuple[int, int, int]]:
 def classified(pages: DataFrame, min_revisit_bytes: int = 0) -> DataFrame:
     """(page_id, url, html, refers_to, revisit): which pages revisit which."""
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"))
-    keys = own.select("page_id", F.unhex(F.sha1("html")).alias("digest"), F.octet_length("html").alias("n")).where(F.col("n") >= min_revisit_bytes)
-    firsts = keys.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
-    again = keys.join(firsts, "digest").where(~F.col("page_id").eqNullSafe(F.col("first"))).groupBy("page_id", "digest").agg(F.first("first").alias("refers_to"))
+    digest = F.unhex(F.sha2("html", 256))
+    keys = own.where(F.octet_length("html") >= min_revisit_bytes).select("page_id", digest.alias("digest"))
+    firsts = cut(keys.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1"))
+    total = firsts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    found = hot_join(keys, firsts.select("digest", "first"), ["digest"], firsts, total)
+    again = found.where(~F.col("page_id").eqNullSafe(F.col("first"))).groupBy("page_id", "digest").agg(F.first("first").alias("refers_to"))
     again = again.select(F.col("page_id").alias("_page"), F.col("digest").alias("_digest"), "refers_to", F.lit(True).alias("revisit"))
-    same = own["page_id"].eqNullSafe(again["_page"]) & (F.unhex(F.sha1(own["html"])) == again["_digest"])
+    same = own["page_id"].eqNullSafe(again["_page"]) & (F.unhex(F.sha2(own["html"], 256)) == again["_digest"])
     return own.join(again, same, "left").select("page_id", "url", "html", "refers_to", F.coalesce("revisit", F.lit(False)).alias("revisit"))
 
 

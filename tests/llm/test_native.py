@@ -7,7 +7,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import line_dedup, quality_rules
+from tessera.llm import line_dedup, quality_model, quality_rules
 
 WS = " \t\n\x0b\x0c\r"
 TEXTS = [
@@ -65,6 +65,37 @@ def test_rules_are_learned_and_applied(spark):
     assert got == {i: i % 4 != 0 for i in range(60)}
 
 
+def test_learning_with_clashing_columns_and_repeated_ids(spark):
+    base = " ".join(f"w{i}" for i in range(80))
+    rows = [(i, base + (" |" * 40 if i % 4 == 0 else f" e{i}"), "x", "y", "z") for i in range(60)]
+    docs = spark.createDataFrame(rows + rows[:8], "doc_id long, text string, _id string, _label string, bad string")
+    labels = spark.createDataFrame([(i, int(i % 4 != 0), "c") for i in range(40)] + [(1, 1, "c")], "doc_id long, quality int, _id string")
+    rules = quality_rules.learn_from(docs, labels)
+    assert rules.rules and str(rules) == str(quality_rules.learn_from(docs.select("doc_id", "text"), labels))
+    assert {r.doc_id: r.kept for r in quality_rules.judge(docs, rules).collect()} == {i: i % 4 != 0 for i in range(60)}
+    model = quality_model.learn_from(docs.withColumn("label", F.lit("c")), labels)
+    assert quality_model.scored(docs, model).count() == 68
+
+
+def test_a_very_long_text(spark):
+    t = " ".join(f"w{i % 40_000}" for i in range(130_000)) + "\nlast line | #"
+    got = quality_rules.judge(docs_of(spark, [t]), quality_rules.DecisionList()).first()
+    assert tuple(got)[1:6] == brute_stats(t)
+    rows = [(i, "\n".join(f"line {k % 9000}" for k in range(20_000)) + f"\nown {i}") for i in range(3)]
+    out = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), min_docs=3, keep_first=False)
+    got = out.select("doc_id", "n_lines", "n_dropped", F.sha2(line_dedup.kept_text(F.col("text"), F.col("keep_runs")), 256)).collect()
+    assert sorted(map(tuple, got), key=str) == brute_lines(rows, 3)
+
+
+def test_documents_are_ids(spark):
+    """A line in nine ids, one of them with two texts, is in nine documents."""
+    rows = [(i, f"shared\nown {i}") for i in range(9)] + [(3, "shared\nother text")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.n_dropped for r in line_dedup.dedup_lines(docs, min_docs=10, keep_first=False).collect()} == {0}
+    out = line_dedup.dedup_lines(docs, min_docs=9, keep_first=False).collect()
+    assert len(out) == 10 and {r.n_dropped for r in out} == {1}
+
+
 def test_no_labels_no_rules(spark):
     docs, labels = docs_of(spark, TEXTS), spark.createDataFrame([], "doc_id long, quality int")
     assert quality_rules.learn_from(docs, labels).rules == []
@@ -75,10 +106,8 @@ def brute_lines(rows, min_docs, keep_first=False, min_chars=1):
     lower = lambda k: k.translate({i: i + 32 for i in range(65, 91)})
     split = [(d, (t or "").split("\n")) for d, t in rows]
     key = lambda x: lower(x.strip(WS))
-    n, first = Counter(), {}
-    for d, t in dict.fromkeys(rows):
-        for k in {key(x) for x in (t or "").split("\n")}:
-            n[k] += 1
+    first = {}
+    n = Counter(k for k, _ in {(key(x), d) for d, ls in split for x in ls})  # documents are ids
     order = sorted(range(len(split)), key=lambda i: (split[i][0] is not None, split[i][0]))
     out = []
     for i in order:

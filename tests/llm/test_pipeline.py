@@ -132,7 +132,6 @@ def test_sequences(stages):
 def test_run(spark):
     out = corpus_pipeline.run(spark, SF)
     assert out.count() > 0 and corpus_pipeline.ORACLE_SQL is None
-    assert queries.queries()["pipeline"]
 
 
 def test_empty_documents(spark):
