@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a temporary folder of its own only where that is unset."""
+    """spark.checkpoint.dir; where it is unset, a session on one machine gets a temporary folder, and a cluster an error."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     current = sc._jsc.sc().getCheckpointDir()
     if not current.isDefined():
+        if not found and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(found or tempfile.mkdtemp(prefix="tessera-"))
     return found or sc._jsc.sc().getCheckpointDir().get()
 
