@@ -14,11 +14,16 @@ from ..model import SparseMatrix, Vector
 from .assemble import ghost_columns
 
 
-def validate_ghosts(ghosts: DataFrame, parts: int, n: int) -> None:
-    """Ghosts (part, pos, gidx) must ascend by position and lie outside their part's own range."""
+def ghost_faults(ghosts: DataFrame, parts: int, n: int) -> DataFrame:
+    """For each part of ghosts (part, pos, gidx), those that do not ascend by position, and those in its own range."""
     before = F.lag("gidx").over(Window.partitionBy("part").orderBy("pos"))
     marked = ghosts.withColumns({"_sorted": F.coalesce(F.col("gidx") > before, F.lit(True)), "_own": owner(F.col("gidx"), parts, n) == F.col("part")})
-    found = marked.agg(F.count_if(~F.col("_sorted")).alias("unsorted"), F.count_if("_own").alias("own")).first()
+    return marked.groupBy("part").agg(F.count_if(~F.col("_sorted")).alias("unsorted"), F.count_if("_own").alias("own"))
+
+
+def validate_ghosts(ghosts: DataFrame, parts: int, n: int) -> None:
+    """Raise on a ghost that is out of order or lies in its part's own range (fixed texts)."""
+    found = ghost_faults(ghosts, parts, n).agg(F.sum("unsorted").alias("unsorted"), F.sum("own").alias("own")).first()
     if found.unsorted:
         raise ValueError("Ghosts must be sorted")
     if found.own:

@@ -10,7 +10,7 @@ shuffle    both sides are shuffled by column
 csr        rows as arrays and x as one array value, an aggregate over each row;
            needs a dense x within BROADCAST_ROWS, else as auto
 blocked    entries and x meet by block of columns in Arrow batches, numpy sums them
-           per row; a block's entries are dealt over `salts` tasks
+           per row; a block with more than TASK_ENTRIES is dealt over as many tasks
 
 x is dense by contract, so rows without entries are the only ones to pad: they get
 beta y (D3). beta = 0 overwrites (D2).
@@ -26,13 +26,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..model import SparseMatrix, Vector
-from ..plans.lineage import cut
+from ..plans.lineage import cut, cut_with
 from .assemble import csr as csr_rows
 from .assemble import diagonal, lower, split_local
 
 #: Rows of x (16 bytes each) that may be broadcast: 32 MB.
 BROADCAST_ROWS = 2_000_000
 BLOCK_COLUMNS = 1 << 16
+#: Entries of a block that meet in one task, about.
+TASK_ENTRIES = 4_000_000
 STRATEGIES = ("auto", "broadcast", "shuffle", "csr", "blocked")
 
 
@@ -52,11 +54,15 @@ def _by_arrays(a: SparseMatrix, x: Vector) -> DataFrame:
     return rows.select("row", F.aggregate(terms, F.lit(0.0), lambda s, t: s + t).alias("val"))
 
 
-def _by_blocks(entries: DataFrame, x: Vector, salts: int) -> DataFrame:
+def _by_blocks(entries: DataFrame, x: Vector, task_entries: int) -> DataFrame:
     b = BLOCK_COLUMNS
-    left = entries.select(F.call_function("div", "col", F.lit(b).cast("long")).alias("_block"), F.pmod(F.xxhash64("row"), F.lit(salts)).cast("int").alias("_salt"), "row", (F.col("col") % b).cast("int").alias("at"), F.col("val").cast("double").alias("val"))
-    right = x.df.select(F.call_function("div", "idx", F.lit(b).cast("long")).alias("_block"), (F.col("idx") % b).cast("int").alias("at"), F.col("val").cast("double").alias("val"))
-    right = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    block = lambda c: F.call_function("div", c, F.lit(b).cast("long")).alias("_block")
+    # one row for each 65,536 columns
+    salts = entries.groupBy(block("col")).agg(F.ceil(F.count("*") / task_entries).cast("int").alias("_salts"))
+    left = entries.withColumn("_block", block("col")).join(F.broadcast(salts), "_block")
+    left = left.select("_block", F.pmod(F.xxhash64("row"), F.col("_salts")).cast("int").alias("_salt"), "row", (F.col("col") % b).cast("int").alias("at"), F.col("val").cast("double").alias("val"))
+    right = x.df.select(block("idx"), (F.col("idx") % b).cast("int").alias("at"), F.col("val").cast("double").alias("val")).join(F.broadcast(salts), "_block")
+    right = right.select("_block", "at", "val", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)).alias("_salt"))
 
     def product(entries: pa.Table, x: pa.Table) -> pa.Table:
         dense = np.zeros(b)
@@ -68,7 +74,7 @@ def _by_blocks(entries: DataFrame, x: Vector, salts: int) -> DataFrame:
     return left.groupBy("_block", "_salt").cogroup(right.groupBy("_block", "_salt")).applyInArrow(product, "row long, val double")
 
 
-def terms(a: SparseMatrix, x: Vector, strategy: str = "auto", salts: int = 4) -> DataFrame:
+def terms(a: SparseMatrix, x: Vector, strategy: str = "auto", task_entries: int = TASK_ENTRIES) -> DataFrame:
     """(row, val): what A x sums up by row; one or more records for each row with entries."""
     if strategy not in STRATEGIES:
         raise ValueError(f"unknown strategy {strategy}; there are {STRATEGIES}")
@@ -76,13 +82,13 @@ def terms(a: SparseMatrix, x: Vector, strategy: str = "auto", salts: int = 4) ->
         return _by_arrays(a, x)
     entries = a.expanded().df
     if strategy == "blocked":
-        return _by_blocks(entries, x, salts)
+        return _by_blocks(entries, x, task_entries)
     return _by_join(entries, x, strategy)
 
 
-def product(a: SparseMatrix, x: Vector, strategy: str = "auto", salts: int = 4) -> DataFrame:
+def product(a: SparseMatrix, x: Vector, strategy: str = "auto") -> DataFrame:
     """(row, val) of A x for the rows that have entries."""
-    return terms(a, x, strategy, salts).groupBy("row").agg(F.sum("val").alias("val"))
+    return terms(a, x, strategy).groupBy("row").agg(F.sum("val").alias("val"))
 
 
 def padded(parts: DataFrame, a: SparseMatrix, alpha: float = 1.0, beta: float = 0.0, y: Vector | None = None) -> Vector:
@@ -164,11 +170,13 @@ def power_apply(a: SparseMatrix, x: Vector, times: int = 100, cut_every: int = 5
 
 def restrict_prolong(r: SparseMatrix, q: Vector, cycles: int = 10, strategy: str = "auto") -> Iterator[tuple[float, float, Vector, Vector]]:
     """p = R' q, q = R p; yields (|p|^2, |q|^2, p, q) after each cycle."""
+    squares = F.sum(F.col("val") * F.col("val"))
     for _ in range(cycles):
-        p = Vector(cut(mult_transposed(r, q, strategy).df), r.ncols)
-        q = Vector(cut(mult(r, p, strategy).df), r.nrows)
-        square = lambda v: v.df.agg(F.sum(F.col("val") * F.col("val"))).first()[0] or 0.0
-        yield square(p), square(q), p, q
+        df, up = cut_with(mult_transposed(r, q, strategy).df, n=squares)
+        p = Vector(df, r.ncols)
+        df, down = cut_with(mult(r, p, strategy).df, n=squares)
+        q = Vector(df, r.nrows)
+        yield up.n or 0.0, down.n or 0.0, p, q
 
 
 __all__ = ["lower", "mult", "mult_diagonal", "mult_overlapped", "mult_symmetric", "mult_transposed", "power_apply", "product", "restrict_prolong", "terms", "transposed"]

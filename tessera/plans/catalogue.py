@@ -8,6 +8,7 @@ sums are exact in any order; the few others are rounded.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,23 +17,38 @@ from pyspark.sql import functions as F
 from ..functions.partition import owner, ranges_table
 from ..model import SparseMatrix, Vector
 from ..operators import assemble, blas, exchange, multiply, solvers, stats
+from ..sources import arrays, petsc, tables
 from ..sources.generators import gaussian, tridiagonal
+from .lineage import cut, shared_dir
 
 PARTS, SPLITS = 4, 4
+#: Applications and cycles, as the usual programs for such kernels do (fixed values).
+TIMES, CYCLES = 100, 10
+#: Of the solve on the tables.
+CG_STEPS, CG_RTOL = 12, 1e-6
+#: A 5 x 5 matrix as CSR arrays (fixed values).
+ROWPTR, COLIND = [0, 3, 6, 9, 13, 15], [0, 1, 3, 0, 1, 3, 2, 3, 4, 0, 1, 2, 3, 2, 4]
+VALUES = [1, -2, -3, -2, 5, 4, 6, 4, -4, -3, 4, 4, 8, -4, 8]
 
 
 class Tables:
     """The base objects, each a lazy table."""
 
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
-        self.spark, self.dir = spark, sf_dir
+        self.spark, self.dir, self.sizes = spark, sf_dir, {}
 
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
     def size(self, table: str, key: str) -> int:
         """Ids are dense from zero; the dimension table has the shape."""
-        return (self.read(table).agg(F.max(key)).first()[0] or 0) + 1
+        if table not in self.sizes:
+            self.sizes[table] = (self.read(table).agg(F.max(key)).first()[0] or 0) + 1
+        return self.sizes[table]
+
+    def path(self, kind: str) -> str:
+        """A new path in the shared folder."""
+        return f"{shared_dir(self.spark).rstrip('/').removeprefix('file:')}/{kind}-{uuid.uuid4().hex}"
 
     @property
     def suppliers(self) -> int:
@@ -101,6 +117,41 @@ def _restrict(t: Tables) -> DataFrame:
     return q.df.select("idx", "val", F.round(F.sqrt(F.lit(p2)), 2).alias("p_norm"), F.round(F.sqrt(F.lit(q2)), 2).alias("q_norm"))
 
 
+def _cycles(t: Tables) -> DataFrame:
+    """Ten cycles; norms grow by orders of magnitude, so their logarithms are given."""
+    r = assemble.assemble(t.raw())
+    kept = r.with_df(cut(r.df))
+    rows = [(k, p2, q2) for k, (p2, q2, _, _) in enumerate(multiply.restrict_prolong(kept, t.ranks(), CYCLES), 1)]
+    out = t.spark.createDataFrame(rows, "cycle int, p2 double, q2 double")
+    return out.select("cycle", F.round(F.log10("p2") / 2, 9).alias("p_norm"), F.round(F.log10("q2") / 2, 9).alias("q_norm"))
+
+
+def _written(t: Tables, a: SparseMatrix, **options) -> SparseMatrix:
+    path = t.path("matrix")
+    petsc.write_matrix(a, path)
+    return petsc.read_matrix(t.spark, path, **options)
+
+
+def _petsc_vector(t: Tables) -> Vector:
+    path = t.path("vector")
+    petsc.write_vector(t.ranks(), path)
+    return petsc.read_vector(t.spark, path, 3)
+
+
+def _sink(t: Tables) -> DataFrame:
+    path = t.path("entries")
+    tables.save_matrix(t.raw(), path)
+    a = tables.load_matrix(t.spark, path)
+    return assemble.assemble(a).df.select("row", "col", "val", F.lit(a.nrows).cast("long").alias("nrows"), F.lit(a.ncols).cast("long").alias("ncols"))
+
+
+def _ghost_faults(t: Tables) -> DataFrame:
+    """Ghosts as they are, and for odd parts an index of their own after them."""
+    g = assemble.ghost_columns(t.cooccurrence(), PARTS).select("part", F.col("lidx").alias("pos"), "gidx")
+    own = ranges_table(t.spark, PARTS, t.suppliers).where("part % 2 = 1").select("part", F.lit(1 << 40).cast("long").alias("pos"), F.col("lo").alias("gidx"))
+    return exchange.ghost_faults(g.unionByName(own), PARTS, t.suppliers)
+
+
 def _contributions(t: Tables) -> DataFrame:
     g = assemble.ghost_columns(t.cooccurrence(), PARTS)
     return exchange.reverse_update(t.ranks(), g.select("gidx", (F.col("gidx") + 10 * (F.col("part") + 1)).cast("double").alias("val"))).df
@@ -121,10 +172,8 @@ def _cg_fixed(t: Tables) -> DataFrame:
     return _rounded(solvers.cg(t.lower_laplacian(), t.ranks(), kmax=3, rtol=0.0).x)
 
 
-def _cg_converged(t: Tables) -> DataFrame:
-    n = 100
-    s = solvers.cg(tridiagonal(t.spark, n), gaussian(t.spark, n))
-    return blas.norm2_table(s.x).select(F.lit(s.iterations).cast("long").alias("iterations"), F.round("norm", 6).alias("norm"))
+def _report(df: DataFrame) -> DataFrame:
+    return df.select("iterations", F.round(F.log10("residual"), 2).alias("residual"), F.round("norm", 6).alias("norm"))
 
 
 def _residual(t: Tables) -> DataFrame:
@@ -136,10 +185,10 @@ def _local_to_global(t: Tables) -> DataFrame:
     return assemble.local_to_global(assemble.global_to_local(w, PARTS), assemble.ghost_columns(w, PARTS), PARTS, w.nrows, w.ncols)
 
 
-def _csr_lengths(t: Tables) -> DataFrame:
-    rows = assemble.csr(assemble.assemble(t.raw()))
-    first = F.get("colind", F.lit(0))
-    return rows.select("row", F.size("colind").cast("long").alias("n"), first.alias("first_col"), F.aggregate("values", F.lit(0.0), lambda a, v: a + v).alias("total"))
+def _csr_arrays(t: Tables) -> DataFrame:
+    """The arrays of each row, written out."""
+    whole = lambda c: F.array_join(F.transform(c, lambda x: x.cast("long").cast("string")), ",")
+    return assemble.csr(assemble.assemble(t.raw())).select("row", F.size("colind").cast("long").alias("n"), whole("colind").alias("colind"), whole("values").alias("values"))
 
 
 def _split_kind(t: Tables, kind: str) -> DataFrame:
@@ -159,11 +208,21 @@ CATALOGUE: dict[str, Callable[[Tables], DataFrame]] = {
     "spmv_diag_only": lambda t: _v(multiply.mult_diagonal(t.laplacian(), t.ranks())),
     "diag_extract": lambda t: assemble.diagonal(t.laplacian()),
     "spmv_transpose": lambda t: _v(multiply.mult_transposed(t.raw(), t.ranks())),
-    "power_apply": lambda t: _rounded(multiply.power_apply(tridiagonal(t.spark, 50), gaussian(t.spark, 50), 5)),
+    "power_apply": lambda t: _rounded(multiply.power_apply(tridiagonal(t.spark, 50), gaussian(t.spark, 50), TIMES)),
     "restrict_prolong": _restrict,
+    "restrict_prolong_cycles": _cycles,
+    "petsc_matrix": lambda t: _written(t, t.raw(), partitions=3).df,
+    "petsc_vector": lambda t: _v(_petsc_vector(t)),
+    "petsc_symmetric_spmv": lambda t: _v(multiply.mult(_written(t, t.laplacian(), symmetric=True), _petsc_vector(t))),
+    "from_csr": lambda t: arrays.from_csr(t.spark, ROWPTR, COLIND, VALUES, 5).df,
+    "from_csr_rows": lambda t: arrays.from_csr_rows(assemble.csr(t.raw()), t.suppliers, t.parts).df,
+    "from_entries": lambda t: arrays.from_entries(t.laplacian().df, t.suppliers, t.suppliers, symmetric=True).df,
+    "sink_parquet": _sink,
+    "ghost_faults": _ghost_faults,
+    "copy_memset": lambda t: _v(Vector.constant(t.spark, t.suppliers, 7.5)),
     "assemble_duplicates": lambda t: assemble.assemble(t.raw()).df,
     "assemble_row_ghosts": _row_ghosts,
-    "csr_build": _csr_lengths,
+    "csr_build": _csr_arrays,
     "csr_to_coo": lambda t: assemble.csr_entries(assemble.csr(assemble.assemble(t.raw()))),
     "csr_rowptr": lambda t: stats.rowptr(assemble.assemble(t.raw())),
     "sym_split_lower": lambda t: _split_kind(t, "lower"),
@@ -196,7 +255,8 @@ CATALOGUE: dict[str, Callable[[Tables], DataFrame]] = {
     "gen_tridiag": lambda t: tridiagonal(t.spark, 100).df.select("row", "col", F.round("val", 9).alias("val")),
     "gen_gaussian": lambda t: _rounded(gaussian(t.spark, 100), 9),
     "cg_fixed_iters": _cg_fixed,
-    "cg_converged": _cg_converged,
+    "cg_converged": lambda t: _report(solvers.report(tridiagonal(t.spark, 100), gaussian(t.spark, 100))),
+    "cg_report": lambda t: _report(solvers.report(t.lower_laplacian(), t.ranks(), kmax=CG_STEPS, rtol=CG_RTOL)),
 }
 
 
@@ -277,15 +337,40 @@ def _power(n: int, times: int) -> str:
     return f"WITH {_tri(n)}, {', '.join(steps)} SELECT i AS idx, round(v, 6) AS val FROM x{times}"
 
 
-def _cg(times: int) -> str:
-    steps = ["s0 AS MATERIALIZED (SELECT i, 0.0::DOUBLE AS x, q AS r, q AS p FROM q)"]
+def _cg_steps(times: int, matrix: str, right: str) -> list[str]:
+    """CTEs s0 .. s<times> (i, x, r, p) and c0 .. (al, rr); matrix has (i, j, v), right (i, v)."""
+    steps = [f"s0 AS MATERIALIZED (SELECT i, 0.0::DOUBLE AS x, v AS r, v AS p FROM {right})"]
     for k in range(times):
         steps += [
-            f"m{k} AS MATERIALIZED (SELECT s.*, y.ap FROM s{k} s JOIN (SELECT l.i, sum(l.v * p) AS ap FROM l JOIN s{k} ON l.j = s{k}.i GROUP BY l.i) y ON s.i = y.i)",
+            f"m{k} AS MATERIALIZED (SELECT s.*, y.ap FROM s{k} s JOIN (SELECT a.i, sum(a.v * p) AS ap FROM {matrix} a JOIN s{k} ON a.j = s{k}.i GROUP BY a.i) y ON s.i = y.i)",
             f"u{k} AS MATERIALIZED (SELECT m.i, m.x + al * m.p AS x, m.r - al * m.ap AS r, m.p, rr FROM m{k} m, (SELECT sum(r * r) / sum(p * ap) AS al, sum(r * r) AS rr FROM m{k}) c)",
             f"s{k + 1} AS MATERIALIZED (SELECT u.i, u.x, u.r, u.r + be * u.p AS p FROM u{k} u, (SELECT sum(r * r) / max(rr) AS be FROM u{k}) c)",
         ]
-    return _sql(f"SELECT i AS idx, round(x, 6) AS val FROM s{times}", more=", " + ", ".join(steps))
+    return steps
+
+
+def _cg(times: int) -> str:
+    return _sql(f"SELECT i AS idx, round(x, 6) AS val FROM s{times}", more=", " + ", ".join(["qv AS (SELECT i, q AS v FROM q)", *_cg_steps(times, "l", "qv")]))
+
+
+def _cg_report(times: int, rtol: float, matrix: str, right: str) -> tuple[str, str]:
+    """The CTEs and the row that says at which step the residual was small enough, and what x was."""
+    all_ = " UNION ALL ".join(f"SELECT {k} AS k, sqrt(sum(r * r)) AS rn, sqrt(sum(x * x)) AS xn FROM s{k}" for k in range(times + 1))
+    steps = ", ".join([*_cg_steps(times, matrix, right), f"res AS MATERIALIZED ({all_})"])
+    body = (
+        f"SELECT k::BIGINT AS iterations, round(log10(rn / (SELECT rn FROM res WHERE k = 0)), 2) AS residual, round(xn, 6) AS norm "
+        f"FROM res WHERE k = (SELECT coalesce(min(k), {times}) FROM res WHERE rn / (SELECT rn FROM res WHERE k = 0) < {rtol} AND k > 0)"
+    )
+    return steps, body
+
+
+def _cycles_sql() -> str:
+    steps = ["q0 AS (SELECT i, q AS v FROM q)"]
+    for k in range(1, CYCLES + 1):
+        steps.append(f"p{k} AS MATERIALIZED (SELECT j, sum(a.v * t.v) AS v FROM a JOIN q{k - 1} t ON a.i = t.i GROUP BY j)")
+        steps.append(f"q{k} AS MATERIALIZED (SELECT a.i, sum(a.v * t.v) AS v FROM a JOIN p{k} t ON a.j = t.j GROUP BY a.i)")
+    rows = " UNION ALL ".join(f"SELECT {k}::INTEGER AS cycle, (SELECT round(log10(sum(v * v)) / 2, 9) FROM p{k}) AS p_norm, (SELECT round(log10(sum(v * v)) / 2, 9) FROM q{k}) AS q_norm" for k in range(1, CYCLES + 1))
+    return _sql(rows, more=", " + ", ".join(steps))
 
 
 SYM = "CASE WHEN pi <> pj THEN 'remote' WHEN i > j THEN 'lower' WHEN i = j THEN 'diagonal' END"
@@ -297,14 +382,14 @@ SQL: dict[str, str] = {
     "spmv_diag_only": _sql("SELECT q.i AS idx, coalesce(v * q, 0.0)::DOUBLE AS val FROM q LEFT JOIN l ON l.i = q.i AND l.j = q.i"),
     "diag_extract": _sql("SELECT i AS idx, v::DOUBLE AS val FROM l WHERE i = j"),
     "spmv_transpose": _sql("SELECT x.j AS idx, coalesce(s, 0.0)::DOUBLE AS val FROM x LEFT JOIN (SELECT j, sum(v * q) AS s FROM a0 JOIN q ON a0.i = q.i GROUP BY j) y ON y.j = x.j"),
-    "power_apply": _power(50, 5),
+    "power_apply": _power(50, TIMES),
     "restrict_prolong": _sql(
         "SELECT q.i AS idx, coalesce(qn.v, 0.0)::DOUBLE AS val, (SELECT round(sqrt(sum(v * v)), 2) FROM pv) AS p_norm, (SELECT round(sqrt(sum(v * v)), 2) FROM qn) AS q_norm FROM q LEFT JOIN qn ON qn.i = q.i",
         more=", pv AS MATERIALIZED (SELECT j, sum(v * q) AS v FROM a JOIN q ON a.i = q.i GROUP BY j), qn AS MATERIALIZED (SELECT a.i, sum(a.v * pv.v) AS v FROM a JOIN pv ON a.j = pv.j GROUP BY a.i)",
     ),
     "assemble_duplicates": _sql("SELECT i AS row, j AS col, v::DOUBLE AS val FROM a"),
     "assemble_row_ghosts": _sql(f"SELECT i AS row, j AS col, v::DOUBLE AS val, {_owner('i')} AS part FROM a, ns"),
-    "csr_build": _sql("SELECT i AS row, count(*)::BIGINT AS n, min(j)::BIGINT AS first_col, sum(v)::DOUBLE AS total FROM a GROUP BY i"),
+    "csr_build": _sql("SELECT i AS row, count(*)::BIGINT AS n, string_agg(j::VARCHAR, ',' ORDER BY j) AS colind, string_agg(v::BIGINT::VARCHAR, ',' ORDER BY j) AS values FROM a GROUP BY i"),
     "csr_to_coo": _sql("SELECT i AS row, j AS col, v::DOUBLE AS val FROM a"),
     "csr_rowptr": _sql("SELECT i AS row, (s - c)::BIGINT AS start, s::BIGINT AS stop FROM (SELECT i, c, sum(c) OVER (ORDER BY i) AS s FROM (SELECT q.i, count(a.i) AS c FROM q LEFT JOIN a ON a.i = q.i GROUP BY q.i))"),
     "sym_split_lower": _sql(f"SELECT pi AS part, i AS row, j AS col, v::DOUBLE AS val FROM lp WHERE {SYM} = 'lower'"),
@@ -346,6 +431,19 @@ SQL: dict[str, str] = {
     "gen_tridiag": f"WITH {_tri(100)} SELECT i AS row, j AS col, round(v, 9) AS val FROM tri",
     "gen_gaussian": f"WITH {_tri(100)} SELECT i AS idx, round(v, 9) AS val FROM gauss",
     "cg_fixed_iters": _cg(3),
-    # the solution of the generated system to ten digits, as numpy's solver gives it
-    "cg_converged": "SELECT 6::BIGINT AS iterations, round(2.82249626474685, 6) AS norm",
+    "cg_converged": "WITH " + _tri(100) + ", " + ", ".join(_cg_report(9, 1e-10, "tri", "gauss")[:1]) + " " + _cg_report(9, 1e-10, "tri", "gauss")[1],
+    "cg_report": _sql(_cg_report(CG_STEPS, CG_RTOL, "l", "qv")[1], more=", qv AS (SELECT i, q AS v FROM q), " + _cg_report(CG_STEPS, CG_RTOL, "l", "qv")[0]),
+    "restrict_prolong_cycles": _cycles_sql(),
+    **dict.fromkeys(("petsc_matrix", "from_csr_rows"), _sql("SELECT i AS row, j AS col, v::DOUBLE AS val FROM a")),
+    "petsc_vector": _sql("SELECT i AS idx, q AS val FROM q"),
+    "petsc_symmetric_spmv": LAPLACE,
+    "from_csr": "SELECT row, unnest(cols)::BIGINT AS col, unnest(vals)::DOUBLE AS val FROM (VALUES (0::BIGINT, [0, 1, 3], [1, -2, -3]), (1, [0, 1, 3], [-2, 5, 4]), (2, [2, 3, 4], [6, 4, -4]), (3, [0, 1, 2, 3], [-3, 4, 4, 8]), (4, [2, 4], [-4, 8])) AS t(row, cols, vals)",
+    "from_entries": _sql("SELECT i AS row, j AS col, v::DOUBLE AS val FROM l WHERE i >= j"),
+    "sink_parquet": _sql("SELECT i AS row, j AS col, v::DOUBLE AS val, n::BIGINT AS nrows, m::BIGINT AS ncols FROM a, ns, np"),
+    "ghost_faults": _sql(
+        "SELECT part, count(*) FILTER (WHERE gidx <= before)::BIGINT AS unsorted, count(*) FILTER (WHERE own)::BIGINT AS own FROM "
+        "(SELECT part, gidx, own, lag(gidx) OVER (PARTITION BY part ORDER BY pos) AS before FROM "
+        "(SELECT part, lidx AS pos, gidx, owner = part AS own FROM ghosts UNION ALL SELECT part, 1099511627776, lo, true FROM parts WHERE part % 2 = 1)) GROUP BY part"
+    ),
+    "copy_memset": _sql("SELECT i AS idx, 7.5::DOUBLE AS val FROM q"),
 }

@@ -12,6 +12,7 @@ from tessera.model import ENTRIES, SparseMatrix, Vector
 from tessera.operators import assemble, blas, exchange, multiply, solvers, stats
 from tessera.sources import arrays, from_csr, from_entries, gaussian, tridiagonal
 
+# fixed values
 ROWPTR = [0, 3, 6, 9, 13, 15]
 COLIND = [0, 1, 3, 0, 1, 3, 2, 3, 4, 0, 1, 2, 3, 2, 4]
 VALUES = [1, -2, -3, -2, 5, 4, 6, 4, -4, -3, 4, 4, 8, -4, 8]
@@ -224,6 +225,24 @@ def test_row_split_is_greedy(spark, splits):
     assert {tuple(x) for x in stats.conflict_map(a, splits).collect()} == conflicts
 
 
+def test_row_split_over_many_blocks(spark):
+    r = random.Random(1)
+    counts = [r.choice([0, 1, 3, 9]) for _ in range(300)]
+    a = mat(spark, [(i, c, 1) for i, n in enumerate(counts) for c in range(n)], 300, 300)
+    for splits in (7, 60, 400):
+        got = stats.nnz_row_split(a, splits, block=16).orderBy("split").collect()
+        want, _ = greedy(counts, splits)
+        assert [(g.row_start, g.row_end) for g in got] == want
+
+
+def test_blocked_product_over_many_tasks(spark):
+    a = mat(spark, [(i, i % 3, 1 + i % 5) for i in range(200)], 200, 3)
+    x = vec(spark, [1, 10, 100])
+    want = out(multiply.mult(a, x))
+    got = multiply.padded(multiply.terms(a, x, "blocked", task_entries=7), a)
+    assert out(got) == want
+
+
 def test_vectors(spark):
     x, y = vec(spark, [1, 2, 3]), vec(spark, [4, 5, 6])
     assert blas.dot(x, y) == 32 and blas.norm2(vec(spark, [3, 4])) == 5
@@ -273,6 +292,19 @@ def test_cg(spark):
     assert blas.norm2(s.x) == pytest.approx(2.82249626474685, rel=1e-12)
 
 
+def test_cg_plans_do_not_grow(spark, monkeypatch):
+    sizes, seen = [], solvers.product
+
+    def product(a, x, strategy):
+        out = seen(a, x, strategy)
+        sizes.append(len(out._jdf.queryExecution().analyzed().toString().splitlines()))
+        return out
+
+    monkeypatch.setattr(solvers, "product", product)
+    solvers.cg(tridiagonal(spark, 50), gaussian(spark, 50), kmax=6, rtol=0.0)
+    assert len(sizes) == 6 and max(sizes[1:]) == min(sizes[1:])
+
+
 def test_cg_edges(spark):
     a = mat(spark, [(0, 0, 4), (1, 0, 1), (1, 1, 3)], 2, 2).with_df(mat(spark, [(0, 0, 4), (1, 0, 1), (1, 1, 3)], 2, 2).df, symmetric=True)
     s = solvers.cg(a, vec(spark, [1, 2]))

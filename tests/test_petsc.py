@@ -5,6 +5,7 @@ import pytest
 
 from tessera.model import Vector
 from tessera.operators import multiply
+from tessera.sources.petsc import MatrixReader
 from tessera.sources import from_csr, read_matrix, read_vector, write_matrix, write_vector
 
 from .test_matrices import COLIND, ROWPTR, VALUES
@@ -36,6 +37,20 @@ def test_read_by_partitions(spark, files, parts):
     assert read_matrix(spark, "file://" + files[0], parts, sum_duplicates=True).df.count() == 15
 
 
+def test_partitions_are_balanced_by_entries(spark, tmp_path):
+    n = [0, 90, 1, 1, 0, 2, 30, 1, 0, 60, 0]
+    a = from_csr(spark, [sum(n[:i]) for i in range(len(n) + 1)], [c for k in n for c in range(k)], [float(c) for k in n for c in range(k)], 100)
+    path = str(tmp_path / "skew.dat")
+    write_matrix(a, path)
+    for parts in (1, 2, 3, 5, 40):
+        found = MatrixReader(path, parts).partitions()
+        assert len(found) == parts and found[0].lo == 0 and found[-1].hi == len(n) and all(x.hi == y.lo for x, y in zip(found, found[1:]))
+        assert [p.first for p in found] == [sum(n[: p.lo]) for p in found]
+        assert max(sum(n[p.lo : p.hi]) for p in found) <= sum(n) / parts + max(n)
+        got = read_matrix(spark, path, parts, sum_duplicates=False).df.orderBy("row", "col").collect()
+        assert [tuple(r) for r in got] == [(i, c, float(c)) for i, k in enumerate(n) for c in range(k)]
+
+
 def damaged(path, tmp_path, edit):
     data = bytearray(open(path, "rb").read())
     new = tmp_path / "bad.dat"
