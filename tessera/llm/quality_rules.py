@@ -220,13 +220,13 @@ def learn_from(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROW
     return learn(sorted(rows, key=lambda r: (str(r["_id"]), str(r))), **options)
 
 
-def base_failed(stats: Column) -> Column:
-    return (stats["n_words"] < 50) | (100 * stats["n_repeat_words"] > 50 * stats["n_words"])
+def base_failed(stats: Column, min_words: int = 50) -> Column:
+    return (stats["n_words"] < min_words) | (100 * stats["n_repeat_words"] > 50 * stats["n_words"])
 
 
-def verdict(stats: Column, rules: DecisionList) -> Column:
+def verdict(stats: Column, rules: DecisionList, min_words: int = 50) -> Column:
     """True for texts to keep: the base rules hold and no learned rule rejects."""
-    return ~base_failed(stats) & rules.column(stats)
+    return ~base_failed(stats, min_words) & rules.column(stats)
 
 
 def judge(docs: DataFrame, rules: DecisionList, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

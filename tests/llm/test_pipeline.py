@@ -57,7 +57,7 @@ def test_rules(spark, stages):
         grams = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
         n = Counter(grams)
         covered = {j for i, g in enumerate(grams) if n[g] > 1 for j in range(i, i + 3)}
-        if len(w) < 50 or 100 * len(covered) > 50 * len(w):
+        if not w or 100 * len(covered) > 50 * len(w):
             return False
         f = of[row[0], row[1]]
         return not any(all((f[c.feature] > c.threshold) == c.above for c in rule) for rule in learned.rules)
