@@ -124,6 +124,30 @@ SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n
 FROM w LEFT JOIN kept ON kept.doc_id = w.doc_id
 """
 
+OP7_SQL = r"""
+WITH d AS (
+  SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents
+), win AS (
+  SELECT doc_id, s, md5(b[s + 1:s + 200]) AS k FROM (SELECT doc_id, b, unnest(range(0, octet_length(b) - 199)) AS s FROM d)
+), twice AS (
+  SELECT doc_id, s FROM (SELECT doc_id, s, count(*) OVER (PARTITION BY k) AS n FROM win) WHERE n > 1
+), runs AS (
+  SELECT doc_id, min(s) AS lo, max(s) + 200 AS hi FROM (
+    SELECT doc_id, s, sum(fresh) OVER (PARTITION BY doc_id ORDER BY s) AS run FROM (
+      SELECT doc_id, s, CASE WHEN s - lag(s) OVER (PARTITION BY doc_id ORDER BY s) <= 200 THEN 0 ELSE 1 END AS fresh FROM twice))
+  GROUP BY doc_id, run
+), gaps AS (
+  SELECT doc_id, lag(hi, 1, 0) OVER w AS lo, lo AS hi FROM runs WINDOW w AS (PARTITION BY doc_id ORDER BY lo)
+  UNION ALL SELECT d.doc_id, coalesce(max(hi), 0), octet_length(any_value(b)) FROM d LEFT JOIN runs ON runs.doc_id = d.doc_id GROUP BY d.doc_id
+), kept AS (
+  SELECT d.doc_id, string_agg(hex(b[gaps.lo + 1:gaps.hi]), '' ORDER BY gaps.lo) AS t FROM d JOIN gaps ON gaps.doc_id = d.doc_id WHERE gaps.hi > gaps.lo GROUP BY d.doc_id
+), gone AS (
+  SELECT doc_id, sum(hi - lo) AS n, count(*) AS spans FROM runs GROUP BY doc_id
+)
+SELECT d.doc_id, octet_length(b)::BIGINT AS n_bytes, coalesce(n, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(t, ''))) AS kept_sha256
+FROM d LEFT JOIN kept ON kept.doc_id = d.doc_id LEFT JOIN gone ON gone.doc_id = d.doc_id
+"""
+
 OP10_SQL = r"""
 WITH lines AS (
   SELECT doc_id, generate_subscripts(ls, 1) AS pos, unnest(ls) AS line
@@ -145,4 +169,4 @@ GROUP BY doc_id
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_substring_dedup": OP6_SQL, "op9_warc": OP9_SQL, "op10_line_dedup": OP10_SQL}
+    return {"op6_substring_dedup": OP6_SQL, "op7_suffix_dedup": OP7_SQL, "op9_warc": OP9_SQL, "op10_line_dedup": OP10_SQL}
