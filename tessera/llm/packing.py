@@ -30,7 +30,7 @@ import heapq
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, islice, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -75,6 +75,16 @@ class Encoder:
         self.used = 0
         self.begin, self.count = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
 
+    def shrink(self) -> None:
+        """Keep the half that was learned first: frequent words are met early."""
+        keep = len(self.words) // 2
+        self.words, self.parts = dict(islice(self.words.items(), keep)), {}
+        self.used = int(self.begin[keep - 1] + self.count[keep - 1]) if keep else 0
+
+    def places(self, words: list[str]) -> np.ndarray:
+        """Places in the table, -1 for words that are not in it."""
+        return np.fromiter(map(self.words.get, words, repeat(-1)), np.int64, len(words))
+
     def learn(self, new: list[str]) -> None:
         split = [PRE.findall(w) for w in new]
         parts, tokenize = self.parts, self.model.tokenize
@@ -99,13 +109,14 @@ class Encoder:
         odd = [bool(ODD.search(t) or self.added and self.added.search(t)) for t in texts]
         words = [[] if o else t.lower().split() for t, o in zip(texts, odd, strict=True)]
         flat = list(chain.from_iterable(words))
-        table = self.words
-        if new := list(set(flat).difference(table)):
-            if len(table) + len(new) > self.table_words:
-                self.clear()
-                table, new = self.words, list(set(flat))
-            self.learn(new)
-        at = np.fromiter(map(table.__getitem__, flat), np.int64, len(flat))
+        at = self.places(flat)
+        if len(unknown := np.flatnonzero(at < 0)):
+            new = {flat[i] for i in unknown.tolist()}
+            if len(self.words) + len(new) > self.table_words:
+                self.shrink()
+                new, unknown = set(flat).difference(self.words), np.arange(len(flat))
+            self.learn(list(new))
+            at[unknown] = self.places([flat[i] for i in unknown.tolist()])
         counts = self.count[at]
         ends = np.cumsum(counts)
         ids = self.ids[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.begin[at] - ends + counts, counts)]

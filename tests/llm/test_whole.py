@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from tessera.llm import decontaminate, pii, queries
+from tessera.llm import decontaminate, packing, pii, queries
 
 # --- decontamination
 
@@ -146,3 +146,14 @@ def test_a_secret_of_letters_alone():
     assert [k for *_, k in found] == ["secret", "secret"] and "correcthorsebattery" not in new and "abcdefgh" not in new
     assert names.replace(text + " 7")[0] == new + " 7"
     assert pii.Pseudonyms(back=True).replace(new)[0] == text
+
+
+def test_small_word_tables_give_the_same_ids():
+    """Words leave a full table and come back."""
+    from tokenizers import Tokenizer
+
+    plain, small = Tokenizer.from_file(queries.tokenizer_file()), packing.Encoder(queries.tokenizer_file(), table_words=7, special_tokens=True)
+    texts = [" ".join(f"word{(i * k) % 23} the" for i in range(12)) for k in range(40)] + ["", "the the"]
+    for at in range(0, len(texts), 3):
+        got = small.encode(texts[at : at + 3])
+        assert [list(g) for g in got] == [plain.encode(t, add_special_tokens=False).ids for t in texts[at : at + 3]]
