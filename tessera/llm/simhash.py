@@ -15,7 +15,11 @@ Near copies in a corpus (one_of_each) are further apart than any such grid can
 hold, so their fingerprints are made for it (Bands): four words of 64 bits over
 all shingles of one to five words. The share of differing bits estimates the angle
 between two documents' shingle counts; the limit is the angle of a similarity
-(cosine) of 0.8. Segments of the grid have one bit there, as counts of wider ones
+(cosine) of 0.8. Counts alone make all long texts of a language alike, by their
+frequent words. So a second fingerprint (NEAR) takes each word and each pair of words
+of a text once; it goes through the grid first, with a limit of 0.7, and near copies
+are looked for within its classes: pair by pair, in large classes by a grid of the
+counts' fingerprints. Segments of the grid have one bit there, as counts of wider ones
 make cells coarser; a part has 18 of them. Bits flip where a document's shingles
 are nearly balanced, so a document visits the cells that its four least certain
 bits of a part lead to, instead of all neighbours. What meets is compared over all
@@ -28,7 +32,8 @@ pair still meets. Joins on keys that may hold most rows go through hot_join.
 
 Defined cases: null and empty texts and texts of white space have fingerprint
 zero and are linked like any other; texts of fewer words than a shingle are one
-shingle; very long texts are taken whole, some thousand shingles at a time;
+shingle; very long texts are taken whole, some thousand shingles at a time, and where
+repeats count once, with a list of all their shingles' hashes;
 repeated rows are in one class, each is returned by classes, and one stays in
 one_of_each; a null id takes part and never names a class unless all its members
 are null; ids may have any type that has an order; an empty table gives an empty
@@ -46,6 +51,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ._common import cut
 from ._exchange import layout, mix, word_bounds, word_hashes
@@ -53,19 +59,24 @@ from .components import components, hot_join
 
 #: A cell with more rows is dealt into chunks of so many.
 CELL_ROWS = 50_000
-#: Of near copies: cosine of shingle counts, at least.
+#: A class of alike texts with more fingerprints is searched by a grid of its own, a smaller one pair by pair.
+CLASS_ROWS = 2_000
+#: Of near copies: cosine of their shingles, at least.
 SIMILARITY = 0.8
+#: Of alike texts, among which near copies are looked for: cosine of what they hold, at least.
+ALIKE = 0.7
 
 
 @dataclass(frozen=True)
 class Bands:
-    """Fingerprints of near copies: words of 64 bits, widths of shingles, parts of the grid, their bits, and uncertain bits kept of each."""
+    """Fingerprints of near copies: words of 64 bits, widths of shingles, parts of the grid, their bits, uncertain bits kept of each, and whether repeats of a shingle count once."""
 
     words: int = 4
     widths: tuple[int, ...] = (1, 2, 3, 4, 5)
     parts: int = 14
     bits: int = 18
     weak: int = 4
+    distinct: bool = False
 
     def limit(self, similarity: float) -> int:
         return int(64 * self.words * math.acos(similarity) / math.pi)
@@ -80,6 +91,10 @@ class Bands:
         return [f"weak{k}" for k in range(-(-self.parts // self.per_long))]
 
 
+#: Fingerprints of the words and pairs of words that a text has, each once; near copies must agree on them too.
+NEAR = Bands(widths=(1, 2), distinct=True)
+
+
 def fingerprint(text: str | None, width: int = 3) -> int:
     """The fingerprint of the whole text."""
     import xxhash
@@ -127,21 +142,31 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def balance(words: np.ndarray, shape: Bands) -> tuple[np.ndarray, int]:
     """For each bit how many shingles have it, and the number of shingles, of all widths; words are hashes."""
     counts, total = np.zeros(64 * shape.words, np.int64), 0
-    longest, step = max(shape.widths), 8192
+    pieces = shingles(words, shape.widths)
+    if shape.distinct:  # over the whole text
+        every = np.unique(np.concatenate([words[:0], *pieces]))
+        pieces = (every[i : i + 32768] for i in range(0, len(every), 32768))
+    for piece in pieces:
+        values = np.empty((len(piece), shape.words), np.uint64)
+        values[:, 0] = mix(piece)
+        for k in range(1, shape.words):
+            values[:, k] = mix(values[:, k - 1] ^ np.uint64(k))
+        counts += bit_counts(values)
+        total += len(values)
+    return counts, total
+
+
+def shingles(words: np.ndarray, widths: tuple[int, ...], step: int = 8192) -> Iterator[np.ndarray]:
+    """Hashes of all shingles of these widths, those that start in some thousand words at a time."""
+    longest = max(widths)
     for i in range(0, len(words), step):
         part = words[i : i + step + longest - 1]
         h, found = part, []
         for width in range(1, longest + 1):
-            if width in shape.widths:
+            if width in widths:
                 found.append(h[:step])
             h = mix(h[:-1] * np.uint64(3) + part[width:])
-        values = np.empty((sum(map(len, found)), shape.words), np.uint64)
-        values[:, 0] = mix(np.concatenate(found))
-        for k in range(1, shape.words):
-            values[:, k] = mix(values[:, k - 1] ^ np.uint64(k))
-        counts += bit_counts(values)
-        total += len(values)
-    return counts, total
+        yield np.concatenate(found)
 
 
 def wide_fingerprint(words: np.ndarray, shape: Bands) -> tuple[np.ndarray, np.ndarray]:
@@ -156,10 +181,13 @@ def wide_fingerprint(words: np.ndarray, shape: Bands) -> tuple[np.ndarray, np.nd
     return np.packbits(2 * counts > total, bitorder="little").view(np.uint64), packed
 
 
-def wide_fingerprints(docs: DataFrame, text_col: str, shape: Bands) -> DataFrame:
-    """The columns of docs without the text, the fingerprint's words, a long that names it, and its uncertain bits."""
+def wide_fingerprints(docs: DataFrame, text_col: str, *shapes: Bands) -> DataFrame:
+    """The columns of docs without the text, the fingerprint's words, a long that names it, and its uncertain bits.
+
+    Names of the columns of a second shape begin with s_.
+    """
     rest = [c for c in docs.columns if c != text_col]
-    names = [*fp_names(shape.words), "node", *shape.weak_names]
+    names = [p + n for p, shape in zip(("", "s_"), shapes, strict=False) for n in [*fp_names(shape.words), "node", *shape.weak_names]]
     kinds = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in rest] + [f"{n} long" for n in names]
     lower = np.array([i + 32 if 65 <= i <= 90 else i for i in range(256)], np.uint8)
 
@@ -172,9 +200,11 @@ def wide_fingerprints(docs: DataFrame, text_col: str, shape: Bands) -> DataFrame
                 starts, ends, doc = word_bounds(raw, offsets)
                 words, _ = word_hashes(raw[~((raw == 32) | ((raw >= 9) & (raw <= 13)))], ends - starts)
                 at = np.searchsorted(doc, np.arange(b.num_rows + 1))
-                fps, weak = zip(*(wide_fingerprint(words[x:y], shape) for x, y in zip(at[:-1], at[1:], strict=True)), strict=True)
-                fps, weak = np.stack(fps), np.stack(weak)
-                columns = [*(pa.array(fps[:, k].view(np.int64)) for k in range(shape.words)), pa.array(names_of(fps).view(np.int64)), *(pa.array(weak[:, k]) for k in range(weak.shape[1]))]
+                columns = []
+                for shape in shapes:
+                    fps, weak = zip(*(wide_fingerprint(words[x:y], shape) for x, y in zip(at[:-1], at[1:], strict=True)), strict=True)
+                    fps, weak = np.stack(fps), np.stack(weak)
+                    columns += [*(pa.array(fps[:, k].view(np.int64)) for k in range(shape.words)), pa.array(names_of(fps).view(np.int64)), *(pa.array(weak[:, k]) for k in range(weak.shape[1]))]
                 yield pa.RecordBatch.from_arrays([*(b.column(1 + k) for k in range(len(rest))), *columns], names=[*rest, *names])
 
     return docs.select(text_col, *rest).mapInArrow(run, ", ".join(kinds))
@@ -188,6 +218,18 @@ def names_of(fps: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(out)
 
 
+def named(df: DataFrame, words: list[str]) -> DataFrame:
+    """df with names_of its words as node."""
+    kind = StructType([*df.schema.fields, StructField("node", LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = np.stack([b.column(w).to_numpy(zero_copy_only=False) for w in words], 1).view(np.uint64)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(names_of(x).view(np.int64))], names=[*b.schema.names, "node"])
+
+    return df.mapInArrow(run, kind)
+
+
 def fp_names(words: int) -> list[str]:
     return ["fp", *(f"fp{k}" for k in range(1, words))]
 
@@ -234,7 +276,7 @@ def grid_rows(fps: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
 
 def band_rows(fps: np.ndarray, weak: np.ndarray, shape: Bands) -> tuple[np.ndarray, np.ndarray]:
     """As grid_rows, for parts of one-bit segments: a row's own cell, one for each uncertain bit, and one for the two least certain together."""
-    bits = np.unpackbits(np.ascontiguousarray(fps).view(np.uint8).reshape(len(fps), -1), axis=1, bitorder="little")
+    bits = np.unpackbits(np.ascontiguousarray(fps).view(np.uint8).reshape(len(fps), 8 * fps.shape[1]), axis=1, bitorder="little")
     places = np.uint64(1) << np.arange(shape.bits, dtype=np.uint64)
     cells = []
     for part in range(shape.parts):
@@ -246,6 +288,15 @@ def band_rows(fps: np.ndarray, weak: np.ndarray, shape: Bands) -> tuple[np.ndarr
     return np.concatenate(cells), np.tile(np.arange(len(fps)), len(cells))
 
 
+def class_rows(fps: np.ndarray, weak: np.ndarray, large: np.ndarray, shape: Bands) -> tuple[np.ndarray, np.ndarray]:
+    """As band_rows, for fingerprints whose last word is a class: a cell for each class, a grid in each large one."""
+    few, many = np.flatnonzero(~large), np.flatnonzero(large)
+    name = fps.view(np.uint64)[:, -1]
+    cell, row = band_rows(np.ascontiguousarray(fps[many, :-1]), weak[many], shape)
+    grid = (mix(cell.view(np.uint64) >> np.uint64(1) ^ mix(name[many[row]])) & ~np.uint64(1)) | (cell & 1).view(np.uint64)
+    return np.concatenate([_cell(name[few], shape.parts, False), grid.view(np.int64)]), np.concatenate([few, many[row]])
+
+
 def _cell(v: np.ndarray, part: int, visitor: bool) -> np.ndarray:
     name = np.uint64((part + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
     return ((mix(v ^ name) & ~np.uint64(1)) | np.uint64(visitor)).view(np.int64)
@@ -371,14 +422,16 @@ def _cell_links(limit: int, words: int, rows: int = 1 << 17):
     return run
 
 
-def near_links(fps: DataFrame, limit: int = 3, cell_rows: int = CELL_ROWS, shape: Bands | None = None) -> DataFrame:
+def near_links(fps: DataFrame, limit: int = 3, cell_rows: int = CELL_ROWS, shape: Bands | None = None, *, classed: bool = False) -> DataFrame:
     """(a, b), a < b: links of nodes that connect what chains of distances <= limit connect.
 
     fps has the words of distinct fingerprints, and with a shape their uncertain bits.
-    A node is a fingerprint's one word, or names_of its words.
+    A node is a fingerprint's one word, or names_of its words. If classed, a word more is
+    a class and large tells of large ones; links are within classes.
     """
-    words = shape.words if shape else 1
+    words = shape.words + classed if shape else 1
     names, weak_names = fp_names(words), shape.weak_names if shape else []
+    more = ["large"] if classed else []
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -386,11 +439,14 @@ def near_links(fps: DataFrame, limit: int = 3, cell_rows: int = CELL_ROWS, shape
                 part = b.slice(i, 4096)
                 columns = [c.to_numpy(zero_copy_only=False) for c in part.columns]
                 x = np.stack(columns[:words], 1)
-                cell, row = band_rows(x, np.stack(columns[words:], 1), shape) if shape else grid_rows(x, limit)
+                if classed:
+                    cell, row = class_rows(x, np.stack(columns[words:-1], 1), columns[-1].astype(bool), shape)
+                else:
+                    cell, row = band_rows(x, np.stack(columns[words:], 1), shape) if shape else grid_rows(x, limit)
                 yield pa.RecordBatch.from_arrays([pa.array(cell), *(pa.array(x[row, k]) for k in range(words))], names=["cell", *names])
 
     columns = ", ".join(f"{n} long" for n in names)
-    rows = fps.select(*names, *weak_names).mapInArrow(emit, f"cell long, {columns}")
+    rows = fps.select(*names, *weak_names, *more).mapInArrow(emit, f"cell long, {columns}")
     place = F.call_function("shiftright", "cell", F.lit(1))
     hot = cut(rows.groupBy(place.alias("_place")).count().where(F.col("count") > cell_rows).select("_place", F.ceil(F.col("count") / cell_rows).cast("int").alias("_chunks")))
     if not hot.isEmpty():
@@ -431,14 +487,23 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row")
     names = [F.xxhash64(F.lit(k), F.col(id_col), F.col(text_col)) for k in (1, 2)]
     rows = docs.select(row, names[0].alias("_a"), names[1].alias("_b"))
-    words = fp_names(shape.words)
+    words, set_words = fp_names(shape.words), [f"s_{n}" for n in fp_names(NEAR.words)]
     texts = docs.select(F.col(text_col).alias("_text"), F.col(id_col).alias("_id"), names[0].alias("_a"), names[1].alias("_b"))
-    marked = cut(wide_fingerprints(texts, "_text", shape))
-    weak = F.min(F.struct(*shape.weak_names)).alias("_weak")
-    grouped = marked.groupBy("node", *words).agg(_least("_id", "_a", "_b").alias("_least"), weak)
-    nodes = cut(grouped.select("node", *words, "_least", "_weak.*"))
-    roots = components(near_links(nodes, shape.limit(similarity), shape=shape))
-    classes_ = nodes.select("node", "_least").join(roots, "node", "left").groupBy(F.coalesce("root", "node")).agg(F.min("_least").alias("_least"))
+    marked = cut(wide_fingerprints(texts, "_text", shape, NEAR))
+    weak, set_weak = F.min(F.struct(*shape.weak_names)).alias("_weak"), F.min(F.struct(*(f"s_{n}" for n in NEAR.weak_names))).alias("_set_weak")
+    grouped = marked.groupBy(*words, "s_node", *set_words).agg(_least("_id", "_a", "_b").alias("_least"), weak, set_weak)
+    nodes = cut(grouped.select(*words, "s_node", *set_words, "_least", "_weak", "_set_weak.*"))
+    # classes of texts that hold the same words and pairs, then near copies by counts within each
+    sets = nodes.groupBy("s_node", *set_words).agg(set_weak).select("s_node", *set_words, "_set_weak.*")
+    sets = sets.toDF(*(c.removeprefix("s_") for c in sets.columns))
+    alike = components(near_links(sets, NEAR.limit(min(ALIKE, similarity)), shape=NEAR)).withColumnRenamed("node", "s_node")
+    *_, class_ = keys = fp_names(shape.words + 1)
+    of_class = nodes.join(alike, "s_node", "left").withColumn(class_, F.coalesce("root", "s_node"))
+    once = of_class.groupBy(*keys).agg(F.min("_least").alias("_least"), F.min("_weak").alias("_weak"))
+    classed = cut(named(once.select(*keys, "_least", "_weak.*"), keys))
+    sizes = classed.groupBy(class_).agg(F.count("*").alias("n")).where("n > 1").select(class_, (F.col("n") > CLASS_ROWS).alias("large"))
+    roots = components(near_links(classed.join(sizes, class_), shape.limit(similarity), shape=shape, classed=True))
+    classes_ = classed.select("node", "_least").join(roots, "node", "left").groupBy(F.coalesce("root", "node")).agg(F.min("_least").alias("_least"))
     stay = classes_.select("_least._a", "_least._b", F.lit(True).alias("stays"))
     same = marked.groupBy("_a", "_b").agg(F.count("*").alias("n"))
     # what is to be done is little: rows that go, and repeated rows of which one stays

@@ -182,6 +182,47 @@ def test_near_copies_are_found(spark, monkeypatch, cell_rows):
     assert len(go - kept) >= 0.95 * len(go)
 
 
+def test_long_texts_of_one_vocabulary_stay(spark):
+    """Frequent words do not make long texts near copies; edited copies of them still are."""
+    r = random.Random(11)
+    words, weights = [f"w{k}" for k in range(2000)], [1 / (k + 1) for k in range(2000)]
+    texts = [r.choices(words, weights, k=n) for n in [60, 400, *[4000] * 12, 9000, 9000]]
+    copies = [edited(t, 0.04, r) for t in (texts[1], texts[5], texts[-1])]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate([*texts, *copies])], "doc_id long, text string")
+    kept = [x.doc_id for x in simhash.one_of_each(docs).select("doc_id").collect()]
+    assert sorted(kept) == list(range(len(texts)))
+
+
+def test_large_classes_have_a_grid(spark, monkeypatch):
+    """The copies found in classes that are searched by a grid, against those found pair by pair."""
+    r = random.Random(13)
+    base = [f"g{k}" for k in range(300)]
+    texts = [base, *(edited(base, 0.03, r) for _ in range(80)), *([f"w{r.randrange(5000)}" for _ in range(200)] for _ in range(20))]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert {x.doc_id for x in simhash.one_of_each(docs).collect()} == {0, *range(81, 101)}
+    monkeypatch.setattr(simhash, "CLASS_ROWS", 4)
+    kept = {x.doc_id for x in simhash.one_of_each(docs).collect()}
+    assert {0, *range(81, 101)} <= kept and len(kept) <= 21 + 4
+
+
+def test_distinct_shingles_match_brute_force(spark):
+    """A text has the fingerprint of its words and pairs taken once each, whatever the pieces."""
+    r = random.Random(12)
+    texts = [None, "", "one", "a a " * 300, " ".join(f"w{r.randrange(40)}" for _ in range(20_000))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "_id long, _text string")
+    for row in simhash.wide_fingerprints(docs, "_text", simhash.NEAR).collect():
+        words = (texts[row._id] or "").split()
+        hashes = {w: int.from_bytes((xxhash.xxh3_128_intdigest(w.encode()) >> 64).to_bytes(8, "big"), "little") for w in words}
+        shingles = set(hashes.values()) | {scalar_mix((hashes[a] * 3 + hashes[b]) & M64) for a, b in zip(words, words[1:], strict=False)}
+        balance = [0] * 256
+        for h in shingles:
+            for k in range(4):
+                h = scalar_mix(h ^ k if k else h)
+                for j in range(64):
+                    balance[64 * k + j] += 1 if h >> j & 1 else -1
+        assert sum((row[n] & M64) << 64 * k for k, n in enumerate(simhash.fp_names(4))) == sum(1 << j for j in range(256) if balance[j] > 0)
+
+
 def test_rows_are_decided_not_ids(spark):
     r = random.Random(3)
     a, b, t = (" ".join(f"{c}{r.randrange(900)}" for _ in range(120)) for c in "abt")
